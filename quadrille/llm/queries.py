@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint
+from . import fingerprint, packing, tokenization
 from .common import read
 
 
@@ -25,9 +25,32 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file of the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with chunk reuse."""
+    rows = tokenization.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in as few sequences of 4096 tokens as the configuration program finds."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The corpus queries by name."""
-    return {"op1_fingerprints": op1_fingerprints}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
