@@ -206,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     table = places(solve(hist)[0])
     before = F.sum("__n").over(Window.partitionBy("__length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("__length", F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part", length).orderBy(F.lit(1)))
+    within = F.row_number().over(Window.partitionBy("__part", length).orderBy(F.xxhash64(*pieces.columns)))
     ranked = rows.withColumn("__within", within - 1).join(base, (F.col(length) == F.col("__length")) & (F.col("__part") == F.col("__of")))
     ranked = ranked.withColumn("__rank", F.col("__within") + F.col("__before")).drop("__within", "__before", "__part", "__of", "__length")
     names = [c for c in ranked.columns if c != "__rank"]
