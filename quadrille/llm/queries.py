@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, packing, tokenization
+from . import fingerprint, language, packing, tokenization
 from .common import read
 
 
@@ -48,9 +48,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def held_out(column: str, folds: int, fold: int) -> Column:
+    """Whether crc32 of an id as text leaves the remainder `fold`; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the folds that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
+    rows = language.identify(docs, model)
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The corpus queries by name."""
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op7_language)}
 
 
 def oracle_sql() -> dict[str, str]:
