@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, tokenization
+from . import fingerprint, language, packing, pii, tokenization
 from .common import read
 
 
@@ -61,9 +61,18 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts are those of the base spans."""
+    rows = pii.detect(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The corpus queries by name."""
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op7_language)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op7_language, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
