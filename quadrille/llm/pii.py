@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokenization import blocks
 
@@ -364,7 +365,7 @@ def redacted(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
+SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("base", "boolean"))
 
 
 def detect(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
