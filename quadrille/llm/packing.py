@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored
-from .tokenization import ChunkEncoder, blocks
+from .tokenization import blocks, encoder_of
 
 CAPACITY, END = 4096, 1
 #: Runs of the pricing program in each round, rounds, and how fast weights change.
@@ -38,12 +38,12 @@ def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int =
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = ChunkEncoder(path, names=False), np.array([end], "<u4").tobytes()
+        encoder, last = encoder_of(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             for rows, texts in blocks(batch, 0):
                 which, piece, length, crc = [], [], [], []
-                for i, records in enumerate(encoder.encode(texts)):
-                    ids = b"".join([*(r[0] for r in records), last])
+                for i, own in enumerate(encoder.encode(texts)):
+                    ids = own + last
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         which.append(i)

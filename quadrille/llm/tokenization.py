@@ -5,19 +5,24 @@ that documents share are cut alike. A chunk is encoded once; its record holds th
 wholly inside and the two pieces of words at its edges. Joins are repaired by re-encoding: the window starts
 with the edge pieces of both chunks and grows over whole chunks until it is bounded by white space on both
 sides, where the pre-tokenizer parts the text whatever stands around, so the ids agree exactly with those of
-the whole text. Records and words are kept in two generations of bounded size, so memory is bounded.
+the whole text. Inside a chunk, runs of symbols are parted from the letters and digits around them, as the
+pre-tokenizer does, so few distinct words reach the library. Chunks and words are kept in bounded number, so
+memory is bounded.
 
 Defined results: a null text is an empty text, which has no ids and decodes to an empty text. Repeated rows
 and repeated ids each keep their own row; columns other than the named ones are not read. Tokenizers that do
-not drop white space, and texts with the separators U+001C to U+001F (which the library does not count as
-white space), are encoded whole.
+not drop white space, texts with the separators U+001C to U+001F (which the library does not count as white
+space) and texts with the beginning of a special token are encoded whole.
 """
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEAN_CHUNK, MAX_CHUNK, WINDOW = 512, 8192, 16
-#: Records of chunks and of words in each generation of a worker's memory.
-KEEP_CHUNKS, KEEP_WORDS = 6_000, 250_000
+#: Records of chunks (in each of two generations) and words that a worker keeps.
+KEEP_CHUNKS, KEEP_WORDS = 6_000, 600_000
 #: Code points that are worked on at once.
 BLOCK = 1 << 22
 _BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Runs of symbols between U+0000 and U+00FF; texts with an apostrophe or a low line are not parted there.
+_SYMBOLS = re.compile("[" + re.escape("".join(c for c in map(chr, range(256)) if not (c.isalnum() or c.isspace() or c in "_'"))) + "]+")
 
 
 def cuts(text: str, mean: int = MEAN_CHUNK, most: int = MAX_CHUNK) -> list[int]:
@@ -76,14 +83,27 @@ class _Kept:
         self.new[key] = x
 
 
+class _Words(dict):
+    """Numbers of words; a new word gets the next number and waits in `new` to be encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer file, reusing chunks and words."""
 
-    def __init__(self, path: str, mean: int = MEAN_CHUNK, names: bool = True) -> None:
+    def __init__(self, path: str, mean: int = MEAN_CHUNK) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.mean = Tokenizer.from_file(path), mean
         self.tokenizer.no_truncation()
@@ -91,103 +111,147 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         first = (described.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        #: White space parts the text and leaves no token.
-        self.by_words = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"\s" in str(first.get("pattern"))
+        pattern = str(first.get("pattern"))
+        #: White space parts the text and leaves no token; so do the bounds of runs of symbols.
+        self.by_words = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\\s\\p{L}\\p{N}]+" in pattern
+        #: Letters are folded to lower case at the end of normalizing.
+        self.folds = self.by_words and str(described.get("normalizer")).endswith("{'type': 'Lowercase'}]}")
+        #: For words of folded Latin letters, which normalizing and splitting leave as they are: the merges alone.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain_decoder = described.get("decoder") is None
-        self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.chunks, self.words = _Kept(KEEP_CHUNKS), _Kept(KEEP_WORDS)
-        self.names_wanted = names
+        self.name_of = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}.__getitem__
+        self.chunks = _Kept(KEEP_CHUNKS)
+        self._forget(_Words(), np.empty(0, np.uint32), np.empty(0, np.int64))
         self.encoded_chunks = self.reused_chunks = 0
 
-    def _record(self, ids: list[int]) -> tuple[bytes, str]:
-        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]) if self.names_wanted else ""
-
-    def _learn(self, missing: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Records of the given distinct words, which are encoded here."""
-        if not missing:
-            return {}
-        out = {w: self._record(e.ids) for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        for w, r in out.items():
-            self.words.put(w, r)
-        return out
-
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, list[str], str] | None:
-        """Edge piece, whole words, edge piece; None for a chunk without white space."""
+    def _forget(self, words: _Words, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Start over with the given words, their ids one after another, and where each word's ids end."""
+        self.words, self.ids, self.ends = words, ids, ends
+
+    def _learn(self) -> None:
+        """Encode the words that wait."""
+        if self.words.new:
+            simple = [self.folds and w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100") for w in self.words.new]
+            by_merges = iter(self.merges.encode_batch_fast([w for w, s in zip(self.words.new, simple, strict=True) if s], add_special_tokens=False))
+            by_all = iter(self.tokenizer.encode_batch_fast([w for w, s in zip(self.words.new, simple, strict=True) if not s], add_special_tokens=False))
+            found = [next(by_merges if s else by_all).ids for s in simple]
+            base = self.ends[-1] if len(self.ends) else 0
+            self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in found])])
+            self.ids = np.concatenate([self.ids, np.array(array("I", chain.from_iterable(found)), np.uint32)])
+            self.words.new = []
+
+    def _keep(self, numbers: np.ndarray) -> None:
+        """Where there are too many words, forget those that are not among the numbers."""
+        if len(self.words) > KEEP_WORDS:
+            used = np.unique(numbers)
+            starts, ends = self.ends[used] - self._lengths()[used], self.ends[used]
+            ids = [self.ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            old, words = list(self.words), _Words()
+            for n in used.tolist():
+                words[old[n]]
+            words.new = []
+            self._forget(words, np.concatenate([*ids, np.empty(0, np.uint32)]), np.cumsum([len(x) for x in ids], dtype=np.int64))
+
+    def _lengths(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
+
+    def _flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered words one after another, and where each word's begin (with the end)."""
+        lengths = self._lengths()[numbers]
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[np.repeat(self.ends[numbers] - lengths - at[:-1], lengths) + np.arange(at[-1])], at
+
+    def _parts(self, chunk: str, plain: bool) -> tuple[str | None, list[str] | str, str | None]:
+        """Edge piece, whole words, edge piece; (None, chunk, None) for a chunk without white space.
+
+        plain: the code points are under U+0100 and letters are folded, so runs of symbols can be parted.
+        """
         words = chunk.split()
         if not words:
             return "", [], ""
         head, tail = not chunk[0].isspace(), not chunk[-1].isspace()
         if len(words) == 1 and head and tail:
-            return None
-        return words[0] if head else "", words[int(head) : len(words) - int(tail)], words[-1] if tail else ""
+            return None, chunk, None
+        first, last = words[0] if head else "", words[-1] if tail else ""
+        if plain and "'" not in chunk and "_" not in chunk:
+            return first, _SYMBOLS.sub(r" \g<0> ", chunk[len(first) : len(chunk) - len(last)]).split(), last
+        return first, words[int(head) : len(words) - int(tail)], last
 
-    def encode(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
-        """For each text the records (ids as little-endian unsigned 32-bit integers, token names) of its stretches in order."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
         if not self.by_words:
-            return [[self._record(e.ids)] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plans, fresh, joins, used = [], {}, set(), {}
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plans, fresh, known = [], {}, {}
+        joins: list[str] = []
         for text in texts:
-            if any(s in text for s in _SEPARATORS):
+            if any(s in text for s in _WHOLE):
                 plans.append(None)
                 continue
+            try:
+                text.encode("latin-1")
+                plain = self.folds
+            except UnicodeEncodeError:
+                plain = False
+            if plain:
+                text = text.lower()
             plan, at, open_word = [], 0, []
             for e in cuts(text, self.mean):
                 chunk = text[at:e]
                 at = e
-                kept = used.get(chunk)
+                kept = fresh.get(chunk) or known.get(chunk)
                 if kept is None:
                     kept = self.chunks.get(chunk)
                     if kept is None:
-                        if chunk in fresh:
-                            kept = fresh[chunk]
-                        else:
-                            parts = self._parts(chunk)
-                            kept = fresh[chunk] = (None, chunk, None) if parts is None else (*parts,)
+                        kept = fresh[chunk] = self._parts(chunk, plain)
                     else:
-                        used[chunk] = kept
+                        known[chunk] = kept
                         self.reused_chunks += 1
-                head, middle, tail = kept
+                head, _, tail = kept
                 if head is None:  # no white space: the window grows
                     open_word.append(chunk)
                     continue
                 open_word.append(head)
                 word = "".join(open_word)
                 if word:
-                    joins.add(word)
-                    plan.append((True, word))
-                plan.append((False, chunk))
+                    plan.append(len(joins))
+                    joins.append(word)
+                plan.append(chunk)
                 open_word = [tail]
             word = "".join(open_word)
             if word:
-                joins.add(word)
-                plan.append((True, word))
+                plan.append(len(joins))
+                joins.append(word)
             plans.append(plan)
         self.encoded_chunks += len(fresh)
-        needed = joins.union(*(x[1] for x in fresh.values() if x[0] is not None))
-        known = self.words.get
-        records = {w: known(w) for w in needed}
-        records |= self._learn([w for w, r in records.items() if r is None])
-        ids_of = {w: r[0] for w, r in records.items()}.__getitem__
-        names_of = {w: r[1] for w, r in records.items()}.__getitem__ if self.names_wanted else None
-        stretches = {c: x[1] for c, x in used.items()}
-        for chunk, (head, middle, tail) in fresh.items():
-            if head is None:
-                self.chunks.put(chunk, (None, chunk, None))
-                continue
-            stretch = b"".join(map(ids_of, middle)), " ".join(filter(None, map(names_of, middle))) if names_of else ""
-            stretches[chunk] = stretch
-            self.chunks.put(chunk, (head, stretch, tail))
+        closed = [(c, x) for c, x in fresh.items() if x[0] is not None]
+        sizes = [len(x[1]) for _, x in closed]
+        numbers = np.fromiter(map(self.words.__getitem__, chain(joins, chain.from_iterable(x[1] for _, x in closed))), np.int64, len(joins) + sum(sizes))
+        self._learn()
+        flat, starts = self._flat(numbers)
+        data = flat.tobytes()
+        bounds = (starts[np.concatenate([np.arange(len(joins)), len(joins) + np.cumsum([0, *sizes])])] * 4).tolist()
+        pieces: dict = {c: x[1] for c, x in known.items()}
+        for i in range(len(joins)):
+            pieces[i] = data[bounds[i] : bounds[i + 1]]
+        for i, (chunk, (head, _, tail)) in enumerate(closed, len(joins)):
+            pieces[chunk] = data[bounds[i] : bounds[i + 1]]
+            self.chunks.put(chunk, (head, pieces[chunk], tail))
+        self._keep(numbers)
         return [
-            [records[x] if is_join else stretches[x] for is_join, x in plan] if plan is not None else [self._record(self.tokenizer.encode(text, add_special_tokens=False).ids)]
-            for text, plan in zip(texts, plans, strict=True)
+            b"".join([pieces[x] for x in plan]) if plan is not None else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() for text, plan in zip(texts, plans, strict=True)
         ]
 
-    def decode(self, ids: bytes, records: list[tuple[bytes, str]]) -> str:
-        """The text of one encoded text: token names parted by spaces, or what the tokenizer's own decoder makes of the ids."""
-        if self.plain_decoder:
-            return " ".join([r[1] for r in records if r[1]])
-        return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    def decode(self, ids: bytes) -> str:
+        """The text of ids: token names parted by spaces, or what the tokenizer's own decoder makes of them."""
+        numbers = array("I", ids).tolist()
+        return " ".join(map(self.name_of, numbers)) if self.plain_decoder else self.tokenizer.decode(numbers, skip_special_tokens=False)
+
+
+@functools.cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """The encoder of a worker process; what it has learnt serves the worker's later tasks too."""
+    return ChunkEncoder(path)
 
 
 def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -209,14 +273,11 @@ def encode_documents(df: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """doc_id, ids array<int>, decoded string for every row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for rows, texts in blocks(batch, 1):
-                ids, decoded = [], []
-                for records in encoder.encode(texts):
-                    own = b"".join([r[0] for r in records])
-                    ids.append(own)
-                    decoded.append(encoder.decode(own, records))
+                ids = encoder.encode(texts)
+                decoded = [encoder.decode(x) for x in ids]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
