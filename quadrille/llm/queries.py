@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, pii, tokenization
+from . import fingerprint, language, packing, pii, tokenization, toxicity
 from .common import read
 
 
@@ -53,6 +53,14 @@ def held_out(column: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the folds that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the folds that are not held out."""
     docs = read(spark, sf_dir, "documents")
@@ -72,7 +80,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The corpus queries by name."""
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op7_language, op8_pii)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op5_toxicity, op7_language, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
