@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, packing, pii, tokenization, toxicity
+from . import fingerprint, jaccard_join, language, packing, pii, tokenization, toxicity
 from .common import read
 
 
@@ -43,6 +43,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, number of links and copies of every document."""
+    return jaccard_join.join(read(spark, sf_dir, "documents")).drop("t")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in as few sequences of 4096 tokens as the configuration program finds."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
@@ -80,7 +85,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The corpus queries by name."""
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op5_toxicity, op7_language, op8_pii)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_jaccard_join, op4_packing, op5_toxicity, op7_language, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
