@@ -5,9 +5,8 @@ that documents share are cut alike. A chunk is encoded once; its record holds th
 wholly inside and the two pieces of words at its edges. Joins are repaired by re-encoding: the window starts
 with the edge pieces of both chunks and grows over whole chunks until it is bounded by white space on both
 sides, where the pre-tokenizer parts the text whatever stands around, so the ids agree exactly with those of
-the whole text. Inside a chunk, runs of symbols are parted from the letters and digits around them, as the
-pre-tokenizer does, so few distinct words reach the library. Chunks and words are kept in bounded number, so
-memory is bounded.
+the whole text. Words are encoded once as well; one of letters and symbols behind them is put together from the
+two, as the pre-tokenizer parts them. Chunks and words are kept in bounded number, so memory is bounded.
 
 Defined results: a null text is an empty text, which has no ids and decodes to an empty text. Repeated rows
 and repeated ids each keep their own row; columns other than the named ones are not read. Tokenizers that do
@@ -18,6 +17,7 @@ space) and texts with the beginning of a special token are encoded whole.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from array import array
@@ -34,10 +34,14 @@ MEAN_CHUNK, MAX_CHUNK, WINDOW = 512, 8192, 16
 KEEP_CHUNKS, KEEP_WORDS = 6_000, 600_000
 #: Code points that are worked on at once.
 BLOCK = 1 << 22
-_BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_BASE, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-#: Runs of symbols between U+0000 and U+00FF; texts with an apostrophe or a low line are not parted there.
-_SYMBOLS = re.compile("[" + re.escape("".join(c for c in map(chr, range(256)) if not (c.isalnum() or c.isspace() or c in "_'"))) + "]+")
+#: A word of folded letters and, behind them, symbols, all under U+0100 (no apostrophe: it may begin a contraction).
+_LETTERS = re.escape("".join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()))
+_MARKS = re.escape("".join(c for c in map(chr, range(256)) if not (c.isalnum() or c.isspace() or c == "'")))
+_LATIN = re.compile(f"([{_LETTERS}]+)?([{_MARKS}]+)?")
+#: Text beyond those code points keeps its case until the library folds it.
+_BEYOND = re.compile("[^\x00-\xff]")
 
 
 def cuts(text: str, mean: int = MEAN_CHUNK, most: int = MAX_CHUNK) -> list[int]:
@@ -45,13 +49,13 @@ def cuts(text: str, mean: int = MEAN_CHUNK, most: int = MAX_CHUNK) -> list[int]:
     n = len(text)
     if n <= WINDOW:
         return [n] if n else []
-    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     base, width = _BASE, 1
     with np.errstate(over="ignore"):
         while width < WINDOW:  # each step doubles the width of the windows
             h = h[:-width] * base + h[width:]
             base, width = base * base, 2 * width
-        at = np.flatnonzero(h * _SPREAD < np.uint64((1 << 64) // mean)) + WINDOW
+        at = np.flatnonzero(h * _SPREAD < np.uint32((1 << 32) // mean)) + WINDOW
     ends, last = [], 0
     for e in [*at.tolist(), n]:
         while e - last > most:
@@ -84,15 +88,20 @@ class _Kept:
 
 
 class _Words(dict):
-    """Numbers of words; a new word gets the next number and waits in `new` to be encoded."""
+    """Numbers of words; a new word gets the next number and waits in `new`, with its parts, to be encoded.
 
-    def __init__(self) -> None:
+    A word of Latin letters with symbols behind it has two parts, which the pre-tokenizer parts as well.
+    """
+
+    def __init__(self, folds: bool) -> None:
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[tuple[str, ...]] = []
+        self.folds = folds
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
-        self.new.append(word)
+        m = _LATIN.fullmatch(word) if self.folds else None
+        self.new.append(m.groups("") if m else (word,))
         return n
 
 
@@ -122,24 +131,28 @@ class ChunkEncoder:
         self.plain_decoder = described.get("decoder") is None
         self.name_of = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}.__getitem__
         self.chunks = _Kept(KEEP_CHUNKS)
-        self._forget(_Words(), np.empty(0, np.uint32), np.empty(0, np.int64))
+        self._forget(_Words(self.folds), np.empty(0, np.uint32), np.empty(0, np.int64))
         self.encoded_chunks = self.reused_chunks = 0
 
     def _forget(self, words: _Words, ids: np.ndarray, ends: np.ndarray) -> None:
         """Start over with the given words, their ids one after another, and where each word's ids end."""
-        self.words, self.ids, self.ends = words, ids, ends
+        self.words, self.ids, self.ends, self.parts = words, ids, ends, {}
 
     def _learn(self) -> None:
-        """Encode the words that wait."""
-        if self.words.new:
-            simple = [self.folds and w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100") for w in self.words.new]
-            by_merges = iter(self.merges.encode_batch_fast([w for w, s in zip(self.words.new, simple, strict=True) if s], add_special_tokens=False))
-            by_all = iter(self.tokenizer.encode_batch_fast([w for w, s in zip(self.words.new, simple, strict=True) if not s], add_special_tokens=False))
-            found = [next(by_merges if s else by_all).ids for s in simple]
-            base = self.ends[-1] if len(self.ends) else 0
-            self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.array(array("I", chain.from_iterable(found)), np.uint32)])
-            self.words.new = []
+        """Encode the words that wait: the parts of letters or symbols that are new by the merges alone, other words as they are."""
+        if not self.words.new:
+            return
+        parts = self.parts
+        wanted = list({p for w in self.words.new if len(w) == 2 for p in w if p and p not in parts})
+        for p, e in zip(wanted, self.merges.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
+            parts[p] = e.ids
+        others = iter(self.tokenizer.encode_batch_fast([w[0] for w in self.words.new if len(w) == 1], add_special_tokens=False))
+        none: list[int] = []
+        found = [parts.get(w[0], none) + parts.get(w[1], none) if len(w) == 2 else next(others).ids for w in self.words.new]
+        base = self.ends[-1] if len(self.ends) else 0
+        self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in found])])
+        self.ids = np.concatenate([self.ids, np.array(array("I", chain.from_iterable(found)), np.uint32)])
+        self.words.new = []
 
     def _keep(self, numbers: np.ndarray) -> None:
         """Where there are too many words, forget those that are not among the numbers."""
@@ -147,7 +160,7 @@ class ChunkEncoder:
             used = np.unique(numbers)
             starts, ends = self.ends[used] - self._lengths()[used], self.ends[used]
             ids = [self.ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            old, words = list(self.words), _Words()
+            old, words = list(self.words), _Words(self.folds)
             for n in used.tolist():
                 words[old[n]]
             words.new = []
@@ -162,24 +175,31 @@ class ChunkEncoder:
         at = np.concatenate([[0], np.cumsum(lengths)])
         return self.ids[np.repeat(self.ends[numbers] - lengths - at[:-1], lengths) + np.arange(at[-1])], at
 
-    def _parts(self, chunk: str, plain: bool) -> tuple[str | None, list[str] | str, str | None]:
-        """Edge piece, whole words, edge piece; (None, chunk, None) for a chunk without white space.
-
-        plain: the code points are under U+0100 and letters are folded, so runs of symbols can be parted.
-        """
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str | None, list[str] | str, str | None]:
+        """Edge piece, whole words, edge piece; (None, chunk, None) for a chunk without white space."""
         words = chunk.split()
         if not words:
             return "", [], ""
         head, tail = not chunk[0].isspace(), not chunk[-1].isspace()
         if len(words) == 1 and head and tail:
             return None, chunk, None
-        first, last = words[0] if head else "", words[-1] if tail else ""
-        if plain and "'" not in chunk and "_" not in chunk:
-            return first, _SYMBOLS.sub(r" \g<0> ", chunk[len(first) : len(chunk) - len(last)]).split(), last
-        return first, words[int(head) : len(words) - int(tail)], last
+        return words[0] if head else "", words[int(head) : len(words) - int(tail)], words[-1] if tail else ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian unsigned 32-bit integers.
+
+        No reference cycles come up in it, so the search for them, which the many small objects would set off, rests.
+        """
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         plans, fresh, known = [], {}, {}
@@ -188,12 +208,7 @@ class ChunkEncoder:
             if any(s in text for s in _WHOLE):
                 plans.append(None)
                 continue
-            try:
-                text.encode("latin-1")
-                plain = self.folds
-            except UnicodeEncodeError:
-                plain = False
-            if plain:
+            if self.folds and not _BEYOND.search(text):
                 text = text.lower()
             plan, at, open_word = [], 0, []
             for e in cuts(text, self.mean):
@@ -203,7 +218,7 @@ class ChunkEncoder:
                 if kept is None:
                     kept = self.chunks.get(chunk)
                     if kept is None:
-                        kept = fresh[chunk] = self._parts(chunk, plain)
+                        kept = fresh[chunk] = self._parts(chunk)
                     else:
                         known[chunk] = kept
                         self.reused_chunks += 1
