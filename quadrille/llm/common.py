@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORDS_PER_SHINGLE = 5
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -47,6 +50,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def bounded_sample(df: DataFrame, by: str, order: list[str], most: dict, default: int = 0) -> DataFrame:
+    """Rows of the values of column `by`: of each value v at most most.get(v, default) rows, those whose hash of `order` is least.
+
+    The rows of each value are counted first, so a hash threshold leaves a few times the wanted number before any
+    is shuffled; what is ranked does not grow with the table, and one value may hold most of the rows.
+    """
+    kinds = 1024
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(kinds).collect()
+    h = F.xxhash64(*order)
+    share = F.lit(0)
+    for r in counts:
+        want = most.get(r[0], default)
+        share = F.when(F.col(by) == F.lit(r[0]), F.lit(min(1 << 30, math.ceil((4 * want + 200) / r[1] * (1 << 30))) if want else 0)).otherwise(share)
+    limit = F.lit(default)
+    for v, n in most.items():
+        limit = F.when(F.col(by) == F.lit(v), F.lit(n)).otherwise(limit)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("__h", *order))
+    return df.withColumn("__h", h).filter(F.pmod(F.col("__h"), F.lit(1 << 30)) < share).withColumn("__r", rank).filter(F.col("__r") <= limit).drop("__r", "__h")
+
+
 class WordHasher:
     """64-bit hashes of words, kept for the words seen last (two generations of bounded size)."""
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
 from .tokenization import blocks
 
 ORDER = 3
@@ -147,17 +148,10 @@ def train(samples: dict[str, list[bytes]]) -> Model:
 
 
 def sampled(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[bytes]]:
-    """At most per_language labelled texts of each of the LANGUAGES most frequent labels.
-
-    A hash of id and text orders the rows; the rank filter is applied before the shuffle as well, so a label may
-    hold most of the rows. Nothing but the bounded sample reaches the driver.
-    """
-    from pyspark.sql.window import Window
-
-    rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("__o"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__o"))
+    """At most per_language labelled texts of each of the LANGUAGES most frequent labels; nothing else reaches the driver."""
+    rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
     out: dict[str, list[bytes]] = {}
-    for r in rows.withColumn("__r", rank).filter(F.col("__r") <= per_language).select("lang", "text").collect():
+    for r in bounded_sample(rows, "lang", ["doc_id", "text"], {}, per_language).select("lang", "text").collect():
         out.setdefault(r[0], []).append(folded(r[1]))
     most = sorted(out, key=lambda k: (-len(out[k]), k))[:LANGUAGES]
     return {k: sorted(out[k]) for k in most}

@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .common import bounded_sample
 from .tokenization import blocks
 
 MOST_TOXIC, MOST_CLEAN = 3000, 5000
@@ -196,13 +196,11 @@ def train(texts: list[str], labels: list[int]) -> Model:
 def sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     """The bounded labelled sample, in an order that the ids fix.
 
-    Labels are ranked within their kind by a hash of the id (the rank filter is applied before the shuffle too);
-    the chosen ones, MOST_TOXIC + MOST_CLEAN rows at most, are broadcast to the documents.
+    The labels are sampled first; the chosen ones, MOST_TOXIC + MOST_CLEAN rows at most, are broadcast to the documents.
     """
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = chosen.withColumn("__r", rank).filter(F.col("__r") <= F.when(F.col("toxic") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)).filter(F.col("__r") <= max(MOST_TOXIC, MOST_CLEAN))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.drop("__r")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * (MOST_TOXIC + MOST_CLEAN)).collect()
+    chosen = bounded_sample(chosen, "toxic", ["doc_id"], {1: MOST_TOXIC, 0: MOST_CLEAN})
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * (MOST_TOXIC + MOST_CLEAN)).collect()
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
