@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard_join, language, packing, pii, tokenization, toxicity
+from . import fingerprint, html_text, jaccard_join, language, neighbours, packing, pii, tokenization, toxicity
 from .common import read
 
 
@@ -83,9 +83,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = html_text.extract(read(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every row whose id is divisible by 100."""
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The corpus queries by name."""
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_jaccard_join, op4_packing, op5_toxicity, op7_language, op8_pii)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_jaccard_join, op4_packing, op5_toxicity, op7_language, op8_pii, op9_html, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
