@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html_text, jaccard_join, language, neighbours, packing, pii, tokenization, toxicity
+from . import chat, fingerprint, html_text, jaccard_join, language, neighbours, packing, pii, tokenization, toxicity
 from .common import read
 
 
@@ -66,6 +66,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, repaired and rendered."""
+    return chat.format_turns(read(spark, sf_dir, "conversations"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the folds that are not held out."""
     docs = read(spark, sf_dir, "documents")
@@ -96,7 +101,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The corpus queries by name."""
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_jaccard_join, op4_packing, op5_toxicity, op7_language, op8_pii, op9_html, op10_neighbours)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_jaccard_join, op4_packing, op5_toxicity, op6_chat, op7_language, op8_pii, op9_html, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
