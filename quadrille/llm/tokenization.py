@@ -96,15 +96,30 @@ class _Words(dict):
     def __init__(self, folds: bool) -> None:
         super().__init__()
         self.new: list[tuple[str, ...]] = []
+        self.names: list[str] = []
         self.folds = folds
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
+        self.names.append(word)
         m = _LATIN.fullmatch(word) if self.folds else None
         self.new.append(m.groups("") if m else (word,))
         return n
 
 
+class _Frequent(dict):
+    """Numbers of the most frequent words, few enough for a processor's cache; others are looked up in `words`."""
+
+    def __init__(self, words: _Words, numbers: np.ndarray, most: int = 1 << 14) -> None:
+        counts = np.bincount(numbers, minlength=1)
+        top = np.argsort(-counts, kind="stable")[:most]
+        super().__init__((words.names[n], n) for n in top[counts[top] > 1].tolist())
+        self.words = words
+
+    def __missing__(self, word: str) -> int:
+        return self.words[word]
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer file, reusing chunks and words."""
 
@@ -131,40 +146,46 @@ class ChunkEncoder:
         self.plain_decoder = described.get("decoder") is None
         self.name_of = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}.__getitem__
         self.chunks = _Kept(KEEP_CHUNKS)
+        self.parts: dict[str, bytes] = {"": b""}
         self._forget(_Words(self.folds), np.empty(0, np.uint32), np.empty(0, np.int64))
         self.encoded_chunks = self.reused_chunks = 0
 
     def _forget(self, words: _Words, ids: np.ndarray, ends: np.ndarray) -> None:
         """Start over with the given words, their ids one after another, and where each word's ids end."""
-        self.words, self.ids, self.ends, self.parts = words, ids, ends, {}
+        self.words, self.ids, self.ends = words, ids, ends
+        self.number = words
 
     def _learn(self) -> None:
         """Encode the words that wait: the parts of letters or symbols that are new by the merges alone, other words as they are."""
         if not self.words.new:
             return
         parts = self.parts
-        wanted = list({p for w in self.words.new if len(w) == 2 for p in w if p and p not in parts})
+        if len(parts) > KEEP_WORDS:
+            parts.clear()
+            parts[""] = b""
+        wanted = list({p for w in self.words.new if len(w) == 2 for p in w if p not in parts})
         for p, e in zip(wanted, self.merges.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            parts[p] = e.ids
+            parts[p] = array("I", e.ids).tobytes()
         others = iter(self.tokenizer.encode_batch_fast([w[0] for w in self.words.new if len(w) == 1], add_special_tokens=False))
-        none: list[int] = []
-        found = [parts.get(w[0], none) + parts.get(w[1], none) if len(w) == 2 else next(others).ids for w in self.words.new]
+        found = [parts[w[0]] + parts[w[1]] if len(w) == 2 else array("I", next(others).ids).tobytes() for w in self.words.new]
         base = self.ends[-1] if len(self.ends) else 0
-        self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in found])])
-        self.ids = np.concatenate([self.ids, np.array(array("I", chain.from_iterable(found)), np.uint32)])
+        self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in found]) // 4])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
         self.words.new = []
 
-    def _keep(self, numbers: np.ndarray) -> None:
-        """Where there are too many words, forget those that are not among the numbers."""
-        if len(self.words) > KEEP_WORDS:
+    def _keep(self, numbers: np.ndarray) -> bool:
+        """Where there are too many words, forget those that are not among the numbers; whether the words have new numbers."""
+        full = len(self.words) > KEEP_WORDS
+        if full:
             used = np.unique(numbers)
             starts, ends = self.ends[used] - self._lengths()[used], self.ends[used]
             ids = [self.ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            old, words = list(self.words), _Words(self.folds)
+            old, words = self.words.names, _Words(self.folds)
             for n in used.tolist():
                 words[old[n]]
             words.new = []
             self._forget(words, np.concatenate([*ids, np.empty(0, np.uint32)]), np.cumsum([len(x) for x in ids], dtype=np.int64))
+        return full
 
     def _lengths(self) -> np.ndarray:
         return np.diff(self.ends, prepend=0)
@@ -241,7 +262,7 @@ class ChunkEncoder:
         self.encoded_chunks += len(fresh)
         closed = [(c, x) for c, x in fresh.items() if x[0] is not None]
         sizes = [len(x[1]) for _, x in closed]
-        numbers = np.fromiter(map(self.words.__getitem__, chain(joins, chain.from_iterable(x[1] for _, x in closed))), np.int64, len(joins) + sum(sizes))
+        numbers = np.fromiter(map(self.number.__getitem__, chain(joins, chain.from_iterable(x[1] for _, x in closed))), np.int64, len(joins) + sum(sizes))
         self._learn()
         flat, starts = self._flat(numbers)
         data = flat.tobytes()
@@ -252,7 +273,8 @@ class ChunkEncoder:
         for i, (chunk, (head, _, tail)) in enumerate(closed, len(joins)):
             pieces[chunk] = data[bounds[i] : bounds[i + 1]]
             self.chunks.put(chunk, (head, pieces[chunk], tail))
-        self._keep(numbers)
+        if not self._keep(numbers) and self.number is self.words and len(numbers) > 1 << 16:
+            self.number = _Frequent(self.words, numbers)
         return [
             b"".join([pieces[x] for x in plan]) if plan is not None else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() for text, plan in zip(texts, plans, strict=True)
         ]
