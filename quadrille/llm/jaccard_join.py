@@ -181,7 +181,8 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     per = sized.groupBy(F.col("root").alias("r")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     members = sized.join(per, F.col("root") == F.col("r")).select("root", "nb", "least", F.col("t").alias("mt"), F.pmod(F.xxhash64("t"), F.col("nb")).cast("int").alias("block"))
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _key(text).alias("t"))
-    chosen = source.join(members, (F.col("t") == F.col("mt")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "nb", "block", "t", "text")
+    # A merge join at every size: the texts of members are found with one shuffle of the table, whatever fits a broadcast.
+    chosen = source.join(members.hint("merge"), (F.col("t") == F.col("mt")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "nb", "block", "t", "text")
     sets = chosen.mapInArrow(_sets, "root binary, nb int, block int, t binary, shingles binary")
     tile = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     dealt = sets.select("root", "block", "t", "shingles", tile).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "t", "block", "shingles")
@@ -210,5 +211,5 @@ def kept(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     """The rows of df that stay when each class keeps the document of its least id (one of equal rows)."""
     found = join(df, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("t").alias("__of")).distinct()
     columns = df.columns
-    rows = df.withColumn("__t", _key(text)).join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")))
+    rows = df.withColumn("__t", _key(text)).join(found.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")))
     return rows.dropDuplicates(["__id", "__t"]).select(*columns)
