@@ -31,7 +31,7 @@ from .tokenization import blocks, encoder_of
 
 CAPACITY, END = 4096, 1
 #: Runs of the pricing program in each round, rounds, and how fast weights change.
-ITERATIONS, ROUNDS, RATE, NEAR_BEST = 40, 4, 0.5, 0.002
+ITERATIONS, ROUNDS, RATE, NEAR_BEST = 12, 3, 0.5, 0.002
 
 
 def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

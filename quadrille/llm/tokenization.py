@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEAN_CHUNK, MAX_CHUNK, WINDOW = 512, 8192, 16
-#: Records of chunks (in each of two generations) and words that a worker keeps.
-KEEP_CHUNKS, KEEP_WORDS = 6_000, 600_000
+#: Records of chunks (in each of two generations), words and parts of words that a worker keeps.
+KEEP_CHUNKS, KEEP_WORDS, KEEP_PARTS = 6_000, 800_000, 1_200_000
 #: Code points that are worked on at once.
 BLOCK = 1 << 22
 _BASE, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -160,7 +160,7 @@ class ChunkEncoder:
         if not self.words.new:
             return
         parts = self.parts
-        if len(parts) > KEEP_WORDS:
+        if len(parts) > KEEP_PARTS:
             parts.clear()
             parts[""] = b""
         wanted = list({p for w in self.words.new if len(w) == 2 for p in w if p not in parts})
