@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.style import half_away
@@ -68,8 +69,6 @@ def place(items: DataFrame) -> DataFrame:
     """frame, fid, lx, ly of placed labels from rows frame, fid, priority, x, y, radius, offset, width, height."""
 
     def run(pdf):
-        import pandas as pd
-
         rows = list(zip(pdf.priority, pdf.fid, pdf.x, pdf.y, pdf.radius, pdf.offset, pdf.width, pdf.height))
         return pd.DataFrame([(pdf.frame.iloc[i], pdf.fid.iloc[i], a, b) for i, a, b in placed(rows)], columns=["frame", "fid", "lx", "ly"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,8 +185,6 @@ def dissolved(rings: DataFrame, by: str) -> DataFrame:
     """
 
     def run(pdf):
-        import pandas as pd
-
         edges = {((a, b), (c, d)): int(n) for a, b, c, d, n in zip(pdf.ax, pdf.ay, pdf.bx, pdf.by_, pdf.n)}
         polys = g.nested([s for r in g.walk(edges) if (s := g.straightened(r))])
         rows = [(pdf[by].iloc[0], i, k, _list(r)) for i, p in enumerate(polys) for k, r in enumerate(p)]

@@ -8,11 +8,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bandmath, filters, grids, style
-from ..operators import aggregates, joins, raster
+from ..functions import bandmath, filters, grids, mvt, style
+from ..operators import aggregates, joins, labels, raster, tiles, topology
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,8 @@ SQL: dict[str, str] = {}
 
 WEB = grids.preset("WebMercatorQuad")
 #: A grid over the boxes' thousand units: 16 x 16 tiles of 64 units at level 4.
-LOCAL = grids.quad("local", "LOCAL", 0.0, 1024.0, 1024.0, 256, 6)
+LOCAL_CRS = "EPSG:3857"
+LOCAL = grids.quad("local", LOCAL_CRS, 0.0, 1024.0, 1024.0, 256, 6)
 
 
 def query(sql: str | None = None, *with_views: str) -> Callable[[Query], Query]:
@@ -159,7 +161,7 @@ def p17_size_gate(spark, d):
 def p18_gate_by_zoom(spark, d):
     """Features that pass each zoom's gate of four square pixels: one pass, from the lowest zoom that keeps a feature on."""
     b = views.boxes(spark, d)
-    kept = [F.when(F.col("area") >= grids.gate_for_grid(LOCAL, z, "LOCAL", 0.0, 4.0), F.lit(z)) for z in range(6)]
+    kept = [F.when(F.col("area") >= grids.gate_for_grid(LOCAL, z, LOCAL_CRS, 0.0, 4.0), F.lit(z)) for z in range(6)]
     return b.select(F.explode(F.array_compact(F.array(*kept))).alias("z")).groupBy("z").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -538,3 +540,89 @@ def r11_flatten(spark, d):
 def r13_image_extent(spark, d):
     """Padding beyond the image's size is left out."""
     return views.pixels(spark, d).filter("col < 200 AND row < 180").select("col", "row", "b1")
+
+
+# Vector tiles, topology, archives, labels.
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    @F.pandas_udf("long")
+    def n(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: mvt.count_features(bytes(b)))
+
+    return rows.select("z", "x", "y", "tile_id", n("blob").alias("features"))
+
+
+def _tile_sql(z: int) -> str:
+    span = 1024 >> z
+    return f"SELECT CAST({z} AS INTEGER) AS z, x, y, count(*) AS features FROM boxes, (SELECT unnest(range({1 << z})) AS x), (SELECT unnest(range({1 << z})) AS y) WHERE maxx > x * {span} - {span} / 16.0 AND minx < x * {span} + {span} * 17 / 16.0 AND maxy > 1024 - (y + 1) * {span} - {span} / 16.0 AND miny < 1024 - y * {span} + {span} / 16.0 GROUP BY x, y"
+
+
+@query(_tile_sql(3), views.BOXES)
+def m01_mvt_tiles(spark, d):
+    """Features that each vector tile of a level encodes, buffer included."""
+    return _counted(tiles.encoded(views.box_features(spark, d), LOCAL, 3, LOCAL_CRS, "boxes")).drop("tile_id")
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_tile_sql(z) for z in range(3)) + ")", views.BOXES)
+def k01_pyramid(spark, d):
+    """A pyramid of three levels."""
+    return _counted(tiles.pyramid(views.box_features(spark, d), LOCAL, range(3), LOCAL_CRS, "boxes")).drop("tile_id")
+
+
+@query("SELECT class_key, CAST(100 * count(*) AS BIGINT) AS area FROM cells GROUP BY 1", views.CELLS)
+def a06_coverage_dissolve(spark, d):
+    """Areas of classes after neighbours of one class are merged (exteriors less holes)."""
+    rings = views.coverage(spark, d).select("class_key", F.col("ring").alias("pts"))
+    out = topology.dissolved(rings, "class_key")
+    return out.groupBy("class_key").agg((F.sum(topology.ring_area2("pts")) / 2).cast("long").alias("area"))
+
+
+@query("SELECT CAST(sum(degree) AS BIGINT) AS piece_edges, count(*) AS arc_edges, count(*) FILTER (WHERE degree > 1) AS shared_edges FROM (SELECT count(*) AS degree FROM (SELECT CASE WHEN f THEN ax ELSE bx END AS ax, CASE WHEN f THEN ay ELSE by_ END AS ay, CASE WHEN f THEN bx ELSE ax END AS bx, CASE WHEN f THEN by_ ELSE ay END AS by_ FROM (SELECT *, ax < bx OR (ax = bx AND ay < by_) AS f FROM edges)) GROUP BY ax, ay, bx, by_)", views.CELLS, views.CORNERS, views.EDGES)
+def t05_topology(spark, d):
+    """Edges in ring pieces and in shared arcs: every edge of the coverage is in one arc."""
+    refs = topology.ring_refs(topology.snapped_rings(views.cell_features(spark, d), 1.0))
+    pool = topology.arcs(refs)
+    edges = F.size("pts") - 1
+    a = refs.agg(F.sum(edges).alias("piece_edges"))
+    return a.crossJoin(pool.agg(F.sum(edges).alias("arc_edges"), F.sum(F.when(F.col("degree") > 1, edges).otherwise(0)).alias("shared_edges")))  # one row each
+
+
+@query("SELECT fid, CAST(100 AS BIGINT) AS area FROM cells", views.CELLS)
+def t06_round_trip(spark, d):
+    """Areas of the rings that are put together from arcs again."""
+    refs = topology.ring_refs(topology.snapped_rings(views.cell_features(spark, d), 1.0))
+    again = topology.rebuilt(refs, topology.arcs(refs))
+    return again.select("fid", F.floor(F.abs(topology.ring_area2("pts")) / 2).cast("long").alias("area"))
+
+
+@query("SELECT z, count(*) AS rings, CAST(sum(100) AS BIGINT) AS area FROM cells, (VALUES (0), (1), (2)) AS t(z) GROUP BY z", views.CELLS)
+def t10_levels_of_detail(spark, d):
+    """Rings and areas of three levels of detail with a gate below every square's size."""
+    refs = topology.ring_refs(topology.snapped_rings(views.cell_features(spark, d), 1.0))
+    scale = grids.metres_per_pixel(0) ** 2
+    lod = topology.levels_of_detail(refs, topology.arcs(refs), 1.0, scale, range(3), 0.5)
+    return lod.groupBy("z").agg(F.count(F.lit(1)).alias("rings"), F.sum(F.floor(F.abs(topology.ring_area2("pts")) / 2).cast("long")).alias("area"))
+
+
+@query()
+def a05_tile_dissolve(spark, d):
+    """Merged classes in the tiles of a level; seams and areas are tested on small fixtures."""
+    options = mvt.Options(dissolve_field="class", dissolve_zoom=3)
+    return _counted(tiles.encoded(views.cell_features(spark, d).drop("class_key"), LOCAL, 2, LOCAL_CRS, "cells", options))
+
+
+@query()
+def m05_tile_mosaic(spark, d):
+    """Cells of the dominant-class mosaic by tile and class."""
+    cells = tiles.class_cells(views.cell_features(spark, d).drop("class_key"), LOCAL, 2, LOCAL_CRS, "class", 128)
+    return cells.groupBy("x", "y", "class_key").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query()
+def w08_labels(spark, d):
+    """Labels that find room, frame by frame."""
+    b = views.boxes(spark, d)
+    frame = (F.floor(F.col("minx") / 250) * 4 + F.floor(F.col("miny") / 250)).cast("long")
+    items = b.select(frame.alias("frame"), "fid", F.coalesce(-F.col("price"), F.lit(0.0)).alias("priority"), (F.col("minx") % 250 * 4).alias("x"), (F.col("miny") % 250 * 4).alias("y"), F.lit(3.0).alias("radius"), F.lit(2.0).alias("offset"), (F.length("name") * 6.0).alias("width"), F.lit(12.0).alias("height"))
+    return labels.place(items)

@@ -5,9 +5,12 @@ Whole-number arithmetic and divisions by powers of two or exact decimals only, s
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import wkb
+
 POINTS = "points AS (SELECT event_id AS fid, CAST(event_id * 7919 % 36000 AS DOUBLE) / 100 - 180 AS lon, CAST(event_id * 104729 % 16000 AS DOUBLE) / 100 - 80 AS lat, event_type, value, user_id FROM events)"
 BOXES = "boxes AS (SELECT o_orderkey AS fid, CAST(o_orderkey * 37 % 1000 AS DOUBLE) AS minx, CAST(o_orderkey * 91 % 1000 AS DOUBLE) AS miny, CAST(o_orderkey * 37 % 1000 + 1 + o_custkey % 20 AS DOUBLE) AS maxx, CAST(o_orderkey * 91 % 1000 + 1 + o_orderkey % 15 AS DOUBLE) AS maxy, CAST((1 + o_custkey % 20) * (1 + o_orderkey % 15) AS DOUBLE) AS area, o_orderstatus AS class_key, o_orderpriority AS name, o_totalprice AS price FROM orders)"
 CELLS = "cells AS (SELECT p_partkey AS fid, p_partkey % 50 AS col, p_partkey // 50 AS row, p_brand AS class_key FROM part)"
@@ -51,3 +54,26 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a raster of four bands; one row for each pixel that has any."""
     rows = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey % 256").alias("col"), F.expr("(l_orderkey * 7 + l_linenumber) % 256").alias("row"))
     return rows.agg(F.max("l_quantity").alias("b1"), F.max("l_extendedprice").alias("b2"), F.max("l_discount").alias("b3"), F.max("l_tax").alias("b4"))
+
+
+def box_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes as polygon features with attributes."""
+    @F.pandas_udf("binary")
+    def polygon(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([wkb.encode(("Polygon", [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]])) for x0, y0, x1, y1 in zip(a, b, c, d)])
+
+    one = lambda n, s: F.struct(n.cast("double").alias("n"), s.cast("string").alias("s"))
+    null = F.lit(None)
+    props = F.create_map(F.lit("class"), one(null, F.col("class_key")), F.lit("price"), one(F.col("price"), null))
+    return boxes(spark, sf_dir).select("fid", polygon("minx", "miny", "maxx", "maxy").alias("wkb"), props.alias("props"), "minx", "miny", "maxx", "maxy", "area", F.col("fid").alias("ord"))
+
+
+def cell_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage's squares as polygon features."""
+    @F.pandas_udf("binary")
+    def square(c: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([wkb.encode(("Polygon", [[[(10.0 * x, 10.0 * y), (10.0 * x + 10, 10.0 * y), (10.0 * x + 10, 10.0 * y + 10), (10.0 * x, 10.0 * y + 10), (10.0 * x, 10.0 * y)]]])) for x, y in zip(c, r)])
+
+    at = lambda c, d: (F.col(c) * 10 + d).cast("double")
+    one = F.struct(F.lit(None).cast("double").alias("n"), F.col("class_key").alias("s"))
+    return cells(spark, sf_dir).select("fid", square("col", "row").alias("wkb"), F.create_map(F.lit("class"), one).alias("props"), at("col", 0).alias("minx"), at("row", 0).alias("miny"), at("col", 10).alias("maxx"), at("row", 10).alias("maxy"), F.lit(100.0).alias("area"), F.col("fid").alias("ord"), "class_key")
