@@ -42,6 +42,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(kind: str, make=lambda: None):
+    """What a worker process keeps for its later tasks of one kind; the first task of another kind drops it, so caches don't add up."""
+    if kind not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind] = make()
+    return _KEPT[kind]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (wraps around)."""
     with np.errstate(over="ignore"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, shingles, stored
+from .common import WordHasher, kept_by_worker, shingles, stored
 from .graph import components
 from .tokenization import blocks
 
@@ -74,6 +74,7 @@ def signatures(df: DataFrame, threshold: float, doc_id: str, text: str) -> DataF
     bands, rows = bands_for(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("shingles")
         words, minhash = WordHasher(), MinHasher(bands, rows)
         for batch in batches:
             for part, texts in blocks(batch, 2):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, kept_by_worker
 from .tokenization import blocks
 
 ORDER = 3
@@ -172,6 +172,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     schema = rows.select(*names).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("language")
         own = shared.value
         for batch in batches:
             for part, texts in blocks(batch, 0, 1 << 20):

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import kept_by_worker
 from .tokenization import blocks
 
 #: The kinds in their order, and the patterns of the base spans.
@@ -378,6 +379,7 @@ def detect(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
     weights = trained().w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("pii")
         field = SemiMarkov()
         field.w = weights
         for batch in batches:

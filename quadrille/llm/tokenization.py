@@ -16,7 +16,6 @@ space) and texts with the beginning of a special token are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import gc
 import os
 import re
@@ -29,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_by_worker
+
 MEAN_CHUNK, MAX_CHUNK, WINDOW = 512, 8192, 16
 #: Records of chunks (in each of two generations), words and parts of words that a worker keeps.
-KEEP_CHUNKS, KEEP_WORDS, KEEP_PARTS = 6_000, 800_000, 1_200_000
+KEEP_CHUNKS, KEEP_WORDS, KEEP_PARTS = 6_000, 600_000, 800_000
 #: Code points that are worked on at once.
 BLOCK = 1 << 22
 _BASE, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -285,10 +286,9 @@ class ChunkEncoder:
         return " ".join(map(self.name_of, numbers)) if self.plain_decoder else self.tokenizer.decode(numbers, skip_special_tokens=False)
 
 
-@functools.cache
 def encoder_of(path: str) -> ChunkEncoder:
     """The encoder of a worker process; what it has learnt serves the worker's later tasks too."""
-    return ChunkEncoder(path)
+    return kept_by_worker(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

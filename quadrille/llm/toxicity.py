@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, kept_by_worker
 from .tokenization import blocks
 
-MOST_TOXIC, MOST_CLEAN = 3000, 5000
+MOST_TOXIC, MOST_CLEAN = 2000, 3000
 #: Beginnings of words that are tried, the least number of toxic texts, of the log odds, and of the likelihood ratio.
 BEGINNINGS, LEAST_TEXTS, LEAST_ODDS, LEAST_RATIO = (4, 5, 6, 7, 8), 3, 1.2, 18.0
-SCOPE, NEAR, KEEP_WORDS = 4, 3, 400_000
+SCOPE, NEAR, KEEP_WORDS = 4, 3, 200_000
 #: The words of the four fixed transducers (English, German, French, Spanish).
 THREAT = frozenset("kill killing hurt destroy stab shoot beat burn murder töten umbringen erschießen tuer frapper matar golpear".split())
 TARGET = frozenset("you your yourself he she they them him her his their du dich dir ihr euch sie er tu toi vous ils elles usted ustedes ellos ellas".split())
@@ -128,19 +128,25 @@ def features(text: str, insults: Insults) -> list[float]:
 
 def learnt(texts: list[str], labels: list[int]) -> dict[str, float]:
     """Weights (log odds) of beginnings of words, and of whole words (ending in $), that toxic texts have more often."""
-    counts = (Counter(), Counter())
     totals = Counter(labels)
-    for text, y in zip(texts, labels, strict=True):
-        own = set(_LETTERS.findall(text.lower()))
-        counts[y].update({w[:k] for w in own for k in BEGINNINGS if len(w) >= k} | {w + "$" for w in own if len(w) > 2})
+
+    def count(y: int, wanted: set[str] | None) -> Counter:
+        seen: Counter = Counter()
+        for text, label in zip(texts, labels, strict=True):
+            if label == y:
+                own = set(_LETTERS.findall(text.lower()))
+                parts = {w[:k] for w in own for k in BEGINNINGS if len(w) >= k} | {w + "$" for w in own if len(w) > 2}
+                seen.update(parts if wanted is None else parts & wanted)
+        return seen
+
+    toxic = {w: a for w, a in count(1, None).items() if a >= LEAST_TEXTS}
+    clean = count(0, set(toxic))
     out = {}
     p, n = totals[1], totals[0]
     if not p or not n:
         return out
-    for w, a in counts[1].items():
-        if a < LEAST_TEXTS:
-            continue
-        b = counts[0][w]
+    for w, a in toxic.items():
+        b = clean[w]
         odds = math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (n + 1))
         if odds < LEAST_ODDS:
             continue
@@ -218,6 +224,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     schema = rows.select(*names).schema.add("toxicity", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("toxicity")
         own = shared.value
         insults = Insults(own.weights)
         for batch in batches:
