@@ -97,10 +97,11 @@ def arcs(refs: DataFrame) -> DataFrame:
 
 
 def report(refs: DataFrame, pool: DataFrame) -> DataFrame:
-    """One row of counts: rings' pieces, arcs, shared arcs, vertices before and after sharing."""
-    a = refs.agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.size("pts")).alias("piece_points"))
-    b = pool.agg(F.count(F.lit(1)).alias("arcs"), F.count_if(F.col("degree") > 1).alias("shared"), F.max("degree").alias("most"), F.sum(F.size("pts")).alias("arc_points"))
-    return a.crossJoin(b)  # one row each
+    """One row of counts: ring pieces and their points, arcs and theirs, shared arcs and theirs, and the most rings that share one."""
+    rows = refs.select(F.lit(0).cast("long").alias("degree"), F.size("pts").alias("n")).union(pool.select("degree", F.size("pts").alias("n")))
+    piece, arc, shared = F.col("degree") == 0, F.col("degree") > 0, F.col("degree") > 1
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return rows.agg(F.count_if(piece).alias("pieces"), total(piece).alias("piece_points"), F.count_if(arc).alias("arcs"), total(arc).alias("arc_points"), F.count_if(shared).alias("shared"), total(shared).alias("shared_points"), F.max("degree").alias("most"))
 
 
 def simplified(pool: DataFrame, least: float | DataFrame) -> DataFrame:
@@ -161,14 +162,15 @@ def culled(rings: DataFrame, least_area: str | float, by: list[str] | None = Non
 def levels_of_detail(refs: DataFrame, pool: DataFrame, tolerance: float, scale: float, zooms: range = range(23), pixels: float = 1.0) -> DataFrame:
     """Rings of every zoom: arcs simplified by the zoom's square pixel, small parts culled; the last zoom is uncut.
 
-    The zooms are a column of a small table, so a written result can be partitioned by z and read one level at a time.
+    Each arc is repeated for the fixed number of zooms, so a written result can be partitioned by z and read one level at a time.
     """
     unit = tolerance * tolerance
     gates = [(z, 0.0 if z == max(zooms) else grids.gate_for_zoom(z, scale, pixels) / unit) for z in zooms]
-    table = pool.sparkSession.createDataFrame(gates, "z int, least double")
-    at = pool.select("arc_id", "pts").crossJoin(F.broadcast(table))  # a fixed number of zooms
-    made = rebuilt(refs, simplified(at, at), ["z"]).join(F.broadcast(table), "z")
-    return culled(made, "least", ["z", "least"]).drop("least")
+    levels = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(least).alias("least")) for z, least in gates])).alias("__l")
+    at = pool.select("arc_id", "pts", levels).select("arc_id", "pts", "__l.z", "__l.least")
+    gate = F.element_at(F.create_map(*[F.lit(v) for pair in gates for v in pair]), F.col("z"))
+    made = rebuilt(refs, simplified(at, at), ["z"]).withColumn("least", gate)
+    return culled(made, "least", ["z"]).drop("least")
 
 
 def dissolved_edges(rings: DataFrame, by: list[str]) -> DataFrame:

@@ -582,10 +582,8 @@ def a06_coverage_dissolve(spark, d):
 def t05_topology(spark, d):
     """Edges in ring pieces and in shared arcs: every edge of the coverage is in one arc."""
     refs = topology.ring_refs(topology.snapped_rings(views.cell_features(spark, d), 1.0))
-    pool = topology.arcs(refs)
-    edges = F.size("pts") - 1
-    a = refs.agg(F.sum(edges).alias("piece_edges"))
-    return a.crossJoin(pool.agg(F.sum(edges).alias("arc_edges"), F.sum(F.when(F.col("degree") > 1, edges).otherwise(0)).alias("shared_edges")))  # one row each
+    r = topology.report(refs, topology.arcs(refs))
+    return r.select((F.col("piece_points") - F.col("pieces")).alias("piece_edges"), (F.col("arc_points") - F.col("arcs")).alias("arc_edges"), (F.col("shared_points") - F.col("shared")).alias("shared_edges"))
 
 
 @query("SELECT fid, CAST(100 AS BIGINT) AS area FROM cells", views.CELLS)

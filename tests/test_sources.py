@@ -313,3 +313,14 @@ def test_configuration():
         config.parse_dsn("postgis://u:secret@h/d?table=t")
     d = config.parse_dsn("postgis://u@h:5433/d?table=s.t&geom=g")
     assert d.port == 5433 and "password" not in repr(d)
+
+
+def test_command_line(spark, tmp_path):
+    from quadrille import cli
+
+    path = tmp_path / "a.geojson"
+    path.write_text(json.dumps(DOC))
+    out = tmp_path / "a.png"
+    assert cli.main(["map", str(path), "--bbox=-40,-40,40,40", "--size", "20,20", "--out", str(out)]) == 0 and out.read_bytes()[:4] == b"\x89PNG"
+    assert cli.main(["tile", str(path), "0/0/0", "--out", str(out)]) == 0 and mvt.count_features(out.read_bytes()) == 3
+    assert cli.main(["bake", str(path), "--zooms", "0-1", "--out", str(tmp_path / "a.pmtiles")]) == 0
