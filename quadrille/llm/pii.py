@@ -19,6 +19,7 @@ import functools
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -153,20 +154,21 @@ def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, s
         c = text[a]
         if c.isspace():
             continue
-        numeric = c in "0123456789(+"
-        for j in range(i, min(i + MOST_TOKENS, len(toks))):
-            e = toks[j][1]
-            if text[e - 1].isspace():
+        digits, dots = 0, 0
+        for j in range(i, min(i + MOST_TOKENS, len(toks)) if c in "0123456789(+" else i):
+            first, e = text[toks[j][0]], toks[j][1]
+            if not (first.isdigit() or first in " ().-+"):
+                break
+            if not first.isdigit():
+                dots += first == "."
                 continue
-            if numeric and text[e - 1].isdigit():
-                kinds = ("ip", "card", "phone") if j > i or b - a >= 12 else ()
-            else:
-                kinds = ()
+            digits += e - toks[j][0]
+            if digits > 19:  # no kind has more
+                break
+            kinds = [k for k, able in (("ip", dots == 3), ("card", digits >= 12), ("phone", j > i and 7 <= digits <= 15)) if able]
             for k in kinds:
                 if (f := features(k, text, a, e)) is not None:
                     out.append((i, j + 1, k, f))
-            if numeric and not (text[toks[j][0]].isdigit() or text[toks[j][0]] in " ().-+"):
-                break
         if (i == 0 or not (text[a - 1].isalnum() or text[a - 1] == "_")) and c.isalnum():
             m = re.compile(r"[A-Za-z0-9_+/=-]{16,}").match(text, a)
             ends = [(m.end(), "secret")] if m else []
@@ -338,14 +340,24 @@ def find(text: str, field: SemiMarkov) -> list[tuple[str, int, int, bool]]:
     """All spans of a text as (kind, start, end, whether a base span), ordered."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    taken = sorted((s[1], s[2]) for s in base)
+    taken: list[list[int]] = []  # merged base spans
+    for _, start, end in base:
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+
+    def free(start: int, end: int) -> bool:
+        i = bisect_left(taken, end, key=lambda t: t[0]) - 1
+        return i < 0 or taken[i][1] <= start
+
     for a, b in windows(text):
         while a > 0 and text[a - 1].isalnum() and text[a].isalnum() and a > 1 and b - a < 4096:
             a -= 1
         while b < len(text) and text[b - 1].isalnum() and text[b].isalnum() and b - a < 4096:
             b += 1
         toks = tokens(text, a, b)
-        segs = [x for x in candidates(text, toks) if not any(s < toks[x[1] - 1][1] and toks[x[0]][0] < e for s, e in taken)]
+        segs = [x for x in candidates(text, toks) if free(toks[x[0]][0], toks[x[1] - 1][1])]
         if segs:
             for i, j, k in field.best(len(toks), segs):
                 out.append((k, toks[i][0], toks[j - 1][1], False))
