@@ -38,7 +38,7 @@ def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int =
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = encoder_of(path), np.array([end], "<u4").tobytes()
+        encoder, last = encoder_of(path, 0), np.array([end], "<u4").tobytes()
         for batch in batches:
             for rows, texts in blocks(batch, 0):
                 which, piece, length, crc = [], [], [], []

@@ -32,7 +32,7 @@ from .common import kept_by_worker
 
 MEAN_CHUNK, MAX_CHUNK, WINDOW = 512, 8192, 16
 #: Records of chunks (in each of two generations), words and parts of words that a worker keeps.
-KEEP_CHUNKS, KEEP_WORDS, KEEP_PARTS = 6_000, 600_000, 800_000
+KEEP_CHUNKS, KEEP_WORDS, KEEP_PARTS = 4_000, 450_000, 500_000
 #: Code points that are worked on at once.
 BLOCK = 1 << 22
 _BASE, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -122,7 +122,7 @@ class _Frequent(dict):
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizer file, reusing chunks and words."""
+    """Encodes texts with a tokenizer file, reusing chunks and words; a mean of 0 takes whole texts for chunks and keeps none."""
 
     def __init__(self, path: str, mean: int = MEAN_CHUNK) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -233,12 +233,12 @@ class ChunkEncoder:
             if self.folds and not _BEYOND.search(text):
                 text = text.lower()
             plan, at, open_word = [], 0, []
-            for e in cuts(text, self.mean):
+            for e in cuts(text, self.mean) if self.mean else [len(text)] if text else []:
                 chunk = text[at:e]
                 at = e
                 kept = fresh.get(chunk) or known.get(chunk)
                 if kept is None:
-                    kept = self.chunks.get(chunk)
+                    kept = self.chunks.get(chunk) if self.mean else None
                     if kept is None:
                         kept = fresh[chunk] = self._parts(chunk)
                     else:
@@ -273,7 +273,8 @@ class ChunkEncoder:
             pieces[i] = data[bounds[i] : bounds[i + 1]]
         for i, (chunk, (head, _, tail)) in enumerate(closed, len(joins)):
             pieces[chunk] = data[bounds[i] : bounds[i + 1]]
-            self.chunks.put(chunk, (head, pieces[chunk], tail))
+            if self.mean:
+                self.chunks.put(chunk, (head, pieces[chunk], tail))
         if not self._keep(numbers) and self.number is self.words and len(numbers) > 1 << 16:
             self.number = _Frequent(self.words, numbers)
         return [
@@ -286,9 +287,9 @@ class ChunkEncoder:
         return " ".join(map(self.name_of, numbers)) if self.plain_decoder else self.tokenizer.decode(numbers, skip_special_tokens=False)
 
 
-def encoder_of(path: str) -> ChunkEncoder:
+def encoder_of(path: str, mean: int = MEAN_CHUNK) -> ChunkEncoder:
     """The encoder of a worker process; what it has learnt serves the worker's later tasks too."""
-    return kept_by_worker(f"encoder {path}", lambda: ChunkEncoder(path))
+    return kept_by_worker(f"encoder {mean} {path}", lambda: ChunkEncoder(path, mean))
 
 
 def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
