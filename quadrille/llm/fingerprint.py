@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WORDS_PER_SHINGLE
+from .ranges import bounds, bucket, first_key
 
 K = 256
 #: Buckets of neighbouring documents for each shuffle partition.
@@ -82,19 +83,6 @@ def merge_parts(df: DataFrame, key: str, sketch: str, k: int = K) -> DataFrame:
     return rows.groupBy(key).agg(F.sort_array(F.collect_list("__h")).alias(sketch))
 
 
-def _count_up_to(bounds: list, key: Column) -> Column:
-    """How many of the ascending bounds are at most key: a two-level search in a literal array."""
-    step = max(1, int(len(bounds) ** 0.5))
-    as_struct = lambda b: F.struct(F.lit(b[0]).cast("long").alias("i"), F.lit(b[1]).cast("long").alias("h"))
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*[as_struct(b) for b in bounds])
-    coarse = F.array(*[as_struct(b) for b in bounds[::step]])
-    at = F.size(F.filter(coarse, lambda b: b <= key))
-    part = F.slice(array, F.greatest(at - 1, F.lit(0)) * step + 1, F.lit(step))
-    return F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + F.size(F.filter(part, lambda b: b <= key)))
-
-
 def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text (null: empty), next text in ascending doc_id (after the last: the first) and __order for later windows.
 
@@ -105,24 +93,17 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("__h", F.xxhash64("text"))
-    parts = BUCKETS_PER_PARTITION * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = rows.select("doc_id", "__h").repartitionByRange(parts, "doc_id", "__h")
-    least = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "__h")).alias("b")).select("b.*").collect()
-    bounds = sorted(((r[0], r[1]) for r in least), key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
-    first, inner = bounds[:1], bounds[1:]
-    key = F.struct(F.col("doc_id").alias("i"), F.col("__h").alias("h"))
-    rows = rows.withColumn("__b", _count_up_to(inner, key))
-    same = lambda b: F.col("doc_id").eqNullSafe(F.lit(b[0])) & (F.col("__h") == F.lit(b[1]))
-    is_bound = F.lit(False)
-    if inner:
-        by_bucket = F.array(*[F.struct(F.lit(b[0]).cast("long").alias("i"), F.lit(b[1]).cast("long").alias("h")) for b in inner])
-        at = F.get(by_bucket, F.col("__b") - 1)
-        is_bound = (F.col("__b") > 0) & at["i"].eqNullSafe(F.col("doc_id")) & (at["h"] == F.col("__h"))
+    keys = ["doc_id", "__h"]
+    of = bounds(rows, keys, BUCKETS_PER_PARTITION * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    rows = rows.withColumn("__b", bucket(of, keys))
+    key = F.struct(*keys)
+    is_bound = (F.col("__b") > 0) & F.coalesce(first_key(of, keys, F.col("__b")) == key, F.lit(False))
     places = F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("ghost")))
     places = F.when(is_bound, F.concat(places, F.array(F.struct((F.col("__b") - 1).alias("b"), F.lit(True).alias("ghost"))))).otherwise(places)
-    if first:
-        wrap = F.array(F.struct(F.lit(len(inner)).alias("b"), F.lit(True).alias("ghost")))
-        places = F.when(same(first[0]), F.concat(places, wrap)).otherwise(places)
+    if of:
+        wrap = F.array(F.struct(F.lit(len(of) - 1).alias("b"), F.lit(True).alias("ghost")))
+        is_first = F.col("doc_id").eqNullSafe(F.lit(of[0][0])) & (F.col("__h") == F.lit(of[0][1]))
+        places = F.when(is_first, F.concat(places, wrap)).otherwise(places)
     rows = rows.withColumn("__p", F.explode(places)).select("doc_id", "text", "__h", F.col("__p.b").alias("__b"), F.col("__p.ghost").alias("__ghost"))
     return rows.withColumn("next_text", F.lead("text").over(neighbours()))
 
