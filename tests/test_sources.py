@@ -324,3 +324,16 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["map", str(path), "--bbox=-40,-40,40,40", "--size", "20,20", "--out", str(out)]) == 0 and out.read_bytes()[:4] == b"\x89PNG"
     assert cli.main(["tile", str(path), "0/0/0", "--out", str(out)]) == 0 and mvt.count_features(out.read_bytes()) == 3
     assert cli.main(["bake", str(path), "--zooms", "0-1", "--out", str(tmp_path / "a.pmtiles")]) == 0
+
+
+def test_image_pyramid(spark, features, tmp_path):
+    from quadrille.functions import png, pmtiles
+
+    red = style.Style(((style.Rule(symbols=(style.Symbol("polygon", (255, 0, 0, 255)),)),),))
+    path = str(tmp_path / "i.pmtiles")
+    grid = grids.preset("WebMercatorQuad_64px")
+    counts = tiles.bake_png(features, path, grid, range(3), "EPSG:4326", red)
+    a = pmtiles.Archive(path)
+    assert counts["addressed"] == 21 and a.kind == "png"  # blank tiles too
+    whole = png.decode(a.get(0))
+    assert whole[32, 27, 0] == 255 and whole[32, 27, 3] == 255 and whole[2, 2, 3] == 0 and whole[32, 32, 3] < 255
