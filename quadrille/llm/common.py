@@ -48,11 +48,27 @@ _KEPT: dict = {}
 def kept_by_worker(kind: str, make=lambda: None):
     """What a worker process keeps for its later tasks of one kind; the first task of another kind drops it, so caches don't add up."""
     if kind not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            _give_back()
         _KEPT[kind] = make()
     return _KEPT[kind]
 
 
+def _give_back() -> None:
+    """Return free memory to the system, as far as the allocators let one ask for it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (wraps around)."""
     with np.errstate(over="ignore"):

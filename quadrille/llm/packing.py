@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored
-from .tokenization import blocks, encoder_of
+from .tokenization import ENCODER_BLOCK, blocks, encoder_of
 
 CAPACITY, END = 4096, 1
 #: Runs of the pricing program in each round, rounds, and how fast weights change.
@@ -40,7 +40,7 @@ def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = encoder_of(path, 0), np.array([end], "<u4").tobytes()
         for batch in batches:
-            for rows, texts in blocks(batch, 0):
+            for rows, texts in blocks(batch, 0, ENCODER_BLOCK):
                 which, piece, length, crc = [], [], [], []
                 for i, own in enumerate(encoder.encode(texts)):
                     ids = own + last

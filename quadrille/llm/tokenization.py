@@ -33,8 +33,8 @@ from .common import kept_by_worker
 MEAN_CHUNK, MAX_CHUNK, WINDOW = 512, 8192, 16
 #: Records of chunks (in each of two generations), words and parts of words that a worker keeps.
 KEEP_CHUNKS, KEEP_WORDS, KEEP_PARTS = 4_000, 450_000, 500_000
-#: Code points that are worked on at once.
-BLOCK = 1 << 22
+#: Code points that are worked on at once; the encoder takes more, as words are then looked up in fewer rounds.
+BLOCK, ENCODER_BLOCK = 1 << 20, 1 << 22
 _BASE, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: A word of folded letters and, behind them, symbols, all under U+0100 (no apostrophe: it may begin a contraction).
@@ -313,7 +313,7 @@ def encode_documents(df: DataFrame, path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
-            for rows, texts in blocks(batch, 1):
+            for rows, texts in blocks(batch, 1, ENCODER_BLOCK):
                 ids = encoder.encode(texts)
                 decoded = [encoder.decode(x) for x in ids]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
