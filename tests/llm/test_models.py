@@ -246,6 +246,24 @@ def test_recall_of_the_default_factor(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("where", ["first", "spread", "binary"])
+def test_neighbours_among_many_equal_vectors(where):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 6)) + rng.integers(0, 4, (3000, 1)) * 5
+    if where == "binary":  # few distances, so that most medians are shared
+        v = rng.integers(0, 2, (3000, 12)).astype(float)
+    else:
+        v[np.arange(1000) if where == "first" else rng.permutation(3000)[:1000]] = v[0]
+    ids = np.arange(3000)
+    tree, q = neighbours.Tree(v, ids), np.arange(0, 3000, 30)
+    d, i = tree.search(v[q], q, 10, 1.0)
+    want = [brute(v, ids, x, 10) for x in q]
+    assert [[x for x, _ in w] for w in want] == i.tolist() and np.allclose(d, [[x for _, x in w] for w in want], atol=1e-12)
+    d, _ = tree.search(v[q], q, 10, neighbours.FACTOR)
+    near = np.array([w[-1][1] for w in want])
+    assert (d <= near[:, None] + 1e-9).mean() >= 0.9
+
+
 # Chats.
 
 
