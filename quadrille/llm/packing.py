@@ -3,9 +3,11 @@
 A configuration is a multiset of lengths that fits a sequence; the program asks for as few configurations as
 cover the length histogram. It is solved by multiplicative weights: a knapsack dynamic program prices the
 configurations under the present weights (one run gives, for every length, the best configuration that holds
-it), near-best ones get an amount, and lengths that are covered beyond their share get lighter. Amounts are
-rounded down to whole copies, the rest of the histogram is solved again, and what is left at the end is filled
-largest first with exact complements where there are any.
+it), near-best ones get an amount, and lengths that are covered beyond their share get lighter. Amounts of
+exact fills are rounded down to whole copies, the rest of the histogram is solved again, and what is left at the
+end is filled largest first with exact complements where there are any. Where that stays above the lower bound
+(lengths that are few have no exact fills), the program is solved once more with weights that move until the bound
+settles, every configuration priced near the best is copied, and the plan of fewer sequences is taken.
 
 Only the histogram (at most `capacity` numbers) reaches the driver, and only the configurations, whose number
 does not depend on the rows, go back. Pieces are numbered within their length by counts for each length and
@@ -18,7 +20,7 @@ repeated rows are packed each for itself; an empty table packs into no sequences
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,10 @@ from .tokenization import ENCODER_BLOCK, blocks, encoder_of
 
 CAPACITY, END = 4096, 1
 #: Runs of the pricing program in each round, rounds, and how fast weights change.
-ITERATIONS, ROUNDS, RATE, NEAR_BEST = 12, 3, 0.5, 0.002
+ITERATIONS, ROUNDS, RATE, NEAR_BEST = 40, 4, 0.5, 0.002
+#: The same for histograms of few lengths: most runs of a round, rounds, the step of the weights, the gap at which the
+#: bound has settled, and how far below the best price a configuration may be; runs over many lengths are fewer.
+PRICED_RUNS, PRICED_ROUNDS, STEP, SETTLED, SLACK, MANY = 300, 6, 0.05, 0.001, 0.01, 2000
 
 
 def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,13 +72,24 @@ def price(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(weights) - 1
     best, taken = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    there = np.flatnonzero(weights > -np.inf)
+    there = there[there > 0]
+    if (n // there).sum() <= MANY:  # length by length, a stretch of that length at a time
+        for l in there.tolist():  # noqa: E741
+            for at in range(l, n + 1, l):
+                to = min(at + l, n + 1)
+                gain = best[at - l : to - l] + weights[l]
+                more = gain > best[at:to]
+                best[at:to][more] = gain[more]
+                taken[at:to][more] = l
+        return best, taken
     for c in range(1, n + 1):
         gain = weights[1 : c + 1] + best[c - 1 :: -1] if c < n else weights[1:] + best[n - 1 :: -1]
         l = int(gain.argmax())  # noqa: E741
         if gain[l] > best[c - 1]:
             best[c], taken[c] = gain[l], l + 1
         else:
-            best[c] = best[c - 1]
+            best[c], taken[c] = best[c - 1], taken[c - 1]
     return best, taken
 
 
@@ -112,6 +128,45 @@ def fractional(counts: np.ndarray, iterations: int = ITERATIONS) -> tuple[dict[t
     return amounts, bound
 
 
+def priced(counts: np.ndarray, runs: int = PRICED_RUNS) -> tuple[dict[tuple[int, ...], float], float]:
+    """Amounts of the configurations that the settled weights price near the best, exact fills or not, and the bound.
+
+    In each run the best configuration of every length whose price is near the best grows until one of its lengths is
+    covered once more; lengths lose weight by what covers them.
+    """
+    n = len(counts) - 1
+    lengths = np.flatnonzero(counts)
+    if (n // lengths).sum() > MANY:
+        runs = min(runs, ITERATIONS)
+    weights = np.full(n + 1, -np.inf)
+    weights[lengths] = lengths / n
+    amounts: dict[tuple[int, ...], float] = {}
+    covered, bound, settled = np.zeros(n + 1), 0.0, weights.copy()
+    for _ in range(runs):
+        best, taken = price(weights)
+        dual = float((counts[lengths] * weights[lengths]).sum() / best[n])
+        if dual > bound:
+            bound, settled = dual, weights / best[n]
+        value = weights[lengths] + best[n - lengths]
+        near = lengths[value >= (1 - NEAR_BEST) * best[n]].tolist()
+        configs = {tuple(sorted([l, *_taken(taken, n - l)], reverse=True)) for l in near}  # noqa: E741
+        use = np.zeros(n + 1)
+        for config in configs:
+            np.add.at(use, list(config), 1.0)
+        step = np.zeros(n + 1)
+        for config in sorted(configs):
+            x = min(float(counts[l] / use[l]) for l in config)  # noqa: E741
+            amounts[config] = amounts.get(config, 0.0) + x
+            np.add.at(step, list(config), x)
+        covered += step
+        weights[lengths] *= np.exp(-STEP * step[lengths] / counts[lengths])
+        least = float((covered[lengths] / counts[lengths]).min())
+        if least and sum(amounts.values()) / least <= (1 + SETTLED) * bound:
+            break
+    least = float((covered[lengths] / counts[lengths]).mean())
+    return {c: x / least for c, x in amounts.items() if sum(settled[l] for l in c) >= 1 - SLACK}, bound  # noqa: E741
+
+
 def _complement(left: np.ndarray, room: int) -> list[int]:
     """Lengths that are left for a gap: one or two that fill it exactly, else the longest that fits."""
     out = []
@@ -143,21 +198,31 @@ def solve(counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], float]
         plan.append(((n,), int(left[n])))
         bound += float(left[n])
         left[n] = 0
+    filled, lower = _rounded(left, fractional, ROUNDS, True)
+    if sum(x for _, x in filled) > np.ceil(lower - 1e-9) + max(1, lower * SETTLED):
+        other, dual = _rounded(left, priced, PRICED_ROUNDS, False)
+        lower = max(lower, dual)
+        filled = min(filled, other, key=lambda f: sum(x for _, x in f))
+    return plan + filled, bound + lower
+
+
+def _rounded(counts: np.ndarray, program: Callable, rounds: int, exact: bool) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """Configurations with their whole copies by rounds of a program (its exact fills only, or all), and its lower bound."""
+    n, left = len(counts) - 1, counts.copy()
+    plan: list[tuple[tuple[int, ...], int]] = []
     lower = 0.0
-    for k in range(ROUNDS):
+    for k in range(rounds):
         before = int(left.sum())
-        if before < 2 * n and k:
-            break
-        if not before:
+        if not before or exact and k and before < 2 * n:
             break
-        amounts, dual = fractional(left)
+        amounts, dual = program(left)
         lower = lower or dual
         for config, x in sorted(amounts.items(), key=lambda a: (-a[1], a[0])):
             need = {}
             for l in config:  # noqa: E741
                 need[l] = need.get(l, 0) + 1
             copies = min(int(x), *(int(left[l]) // a for l, a in need.items()))
-            if copies and sum(config) == n:
+            if copies and (sum(config) == n or not exact):
                 plan.append((config, copies))
                 for l, a in need.items():  # noqa: E741
                     left[l] -= a * copies
@@ -175,7 +240,7 @@ def solve(counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], float]
         plan.append((config, copies))
         for x, a in need.items():
             left[x] -= a * copies
-    return plan, bound + lower
+    return plan, lower
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

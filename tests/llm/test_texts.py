@@ -177,6 +177,21 @@ def test_configuration_program_is_near_the_best():
     assert packing.solve(np.zeros(5, np.int64))[0] == []
 
 
+def test_few_lengths_without_exact_fills():
+    counts = np.zeros(4097, np.int64)
+    counts[[2090, 1106, 1065, 940]] = [6000, 6000, 6000, 12000]
+    r, mixed = random.Random(1), np.zeros(4097, np.int64)
+    for x in r.sample(range(800, 2600), 200):
+        mixed[x] = r.randint(20, 9000)
+    for hist, most in ((counts, 1.001), (mixed, 1.02)):
+        plan, bound = packing.solve(hist)
+        used = np.zeros(4097, np.int64)
+        for config, copies in plan:
+            assert sum(config) <= 4096
+            np.add.at(used, list(config), copies)
+        assert (used == hist).all() and bound <= sum(c for _, c in plan) <= most * bound + 1
+
+
 def test_packing_of_an_empty_table(spark, docs):
     assert packing.pack_documents(docs([]), PATH).count() == 0 and tokenization.encode_documents(docs([]), PATH).count() == 0
 
