@@ -7,7 +7,7 @@ like, or class and id names such as those of adverts and comments: -1; article o
 decision tree, grown on the small labelled table below, keeps or drops each block.
 
 Defined results: null or empty html, and pages without a kept block, have an empty text; truncated pages and
-unclosed tags are read as far as they go; repeated rows keep their own result. White space in a block becomes
+unclosed tags are read as far as they go (elements without text, but for raw text, end at the next block-level tag); repeated rows keep their own result. White space in a block becomes
 one space, blocks are joined by an empty line, and nothing is capped.
 """
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .tokenization import blocks
 
 #: Elements whose content is never text, block-level elements, and elements and names that set the zone.
-_SILENT = "script|style|noscript|template|textarea|title|iframe|svg|select|button|object|audio|video|canvas|math"
+_RAW = "script|style|textarea|title"
+_SILENT = "noscript|template|iframe|svg|select|button|object|audio|video|canvas|math"
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("hr br img input meta link area base col embed source track wbr p li dt dd tr td th option".split())
 _OUTSIDE = frozenset("nav footer aside form menu dialog search".split())
@@ -35,7 +36,15 @@ _INSIDE = frozenset("article main".split())
 _OUTSIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond discussion disqus breadcrumb breadcrumbs menu nav navbar navigation footer copyright disclaimer pagination pager widget toolbar masthead topbar complementary contentinfo search skip tags".split())
 _INSIDE_NAMES = frozenset("article content post entry story main maincontent articlebody".split())
 
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^>]*\Z", re.S | re.I)
+_ATTRIBUTES = r"""(?:[^'">]|"[^"]*"|'[^']*')*"""
+_STOP = "|".join(sorted(_BLOCK - {"option", "optgroup"}))
+#: Silent elements: empty ones, raw text to its end or that of the page, closed ones, and unclosed ones to the next block-level tag.
+_TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){_ATTRIBUTES}/>|<({_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<({_SILENT})(?=[\s/>]){_ATTRIBUTES}>(?:(?:(?!<\2[\s/>]).)*?</\2\s*>|.*?(?:</\2\s*>|(?=</?(?:{_STOP})[\s/>])|\Z))"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>{_ATTRIBUTES})>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^>]*\Z",
+    re.S | re.I,
+)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: The labelled table: words, link density, words and link density before and after, zone, heading; 1 if main text.
@@ -139,10 +148,10 @@ def flat_blocks(page: str) -> list[Block]:
             if links:
                 linked += len("".join(html.unescape(piece).split()))
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m["name"] or "").lower()
         if not name:
             continue
-        closing = bool(m[2])
+        closing = bool(m["close"])
         if name == "a":
             links = 0 if closing else 1
         elif name == "br":
@@ -157,8 +166,8 @@ def flat_blocks(page: str) -> list[Block]:
                 heading = False
             else:
                 heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
-                if name not in _VOID and not m[4].rstrip().endswith("/"):
-                    names = _names(m[4]) if "=" in m[4] else ()
+                if name not in _VOID and not m["attributes"].rstrip().endswith("/"):
+                    names = _names(m["attributes"]) if "=" in m["attributes"] else ()
                     zone = -1 if name in _OUTSIDE or not _OUTSIDE_NAMES.isdisjoint(names) else 1 if name in _INSIDE or not _INSIDE_NAMES.isdisjoint(names) else 0
                     if name in ("body", "html"):
                         zone = 0

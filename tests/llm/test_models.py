@@ -191,6 +191,18 @@ def test_pages_equal_their_articles(spark):
         assert html_text.main_text(r.html) == "\n\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("start", ['<svg class="i"/>', '<svg class="i"><path d="M0"/>', "<button>x", "<video-player></video-player>", "<math/>", "<select><option>x", "<object data=a>", "<div><button>x</div>"])
+@pytest.mark.parametrize("end", ["", "<button>y</button>", "<svg><path/></svg>", "<p>last</p>"])
+def test_silent_elements_do_not_take_the_page(start, end):
+    texts = [b.text for b in html_text.flat_blocks(f"{start}<p>rest of <b>it</b></p>{end}")]
+    assert texts == ["rest of it"] + ["last"] * ("last" in end)
+
+
+def test_silent_elements_stay_silent():
+    page = "<title>a</title><script>if (a < b) '<p>c'</script><noscript><p>d</p></noscript><svg><title>e</title></svg><button><div>f</div></button><p>g</p><script><p>h"
+    assert [b.text for b in html_text.flat_blocks(page)] == ["g"]
+
+
 def test_tree_agrees_with_its_table():
     for *x, label in html_text.TABLE:
         node = html_text.tree()
