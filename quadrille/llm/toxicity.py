@@ -42,6 +42,8 @@ NEGATION = frozenset("not never don't isn't aren't doesn't neither nor nicht kei
 REPORTED = frozenset("said says say quote quoted called wrote claimed sagte schrieb nannte dit écrit dijo escribió llamó".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;\n]+")
+#: What may be attached to a word.
+_MARKS = ".,:\"'()[]*#$%&-"
 FEATURES = 11
 
 
@@ -56,7 +58,7 @@ class Insults(dict):
         best = 0.0
         for w in _LETTERS.findall(word):
             best = max([best, self.weights.get(w + "$", 0.0), *(self.weights.get(w[:k], 0.0) for k in BEGINNINGS if len(w) >= k)])
-        if word in THREAT:
+        if word.strip(_MARKS) in THREAT:
             best = best or 1e-9
         if len(self) >= KEEP_WORDS:
             self.clear()
@@ -70,7 +72,7 @@ def clause_masses(words: list[str], insults: Insults) -> tuple[float, float, flo
     neg = rep = aim = 0  # words that the open scopes still hold
     waiting: list[tuple[int, float]] = []  # insults and threats that a coming target may reach
     for i, raw in enumerate(words):
-        w = raw.strip(".,:\"'()[]*#$%&-")
+        w = raw.strip(_MARKS)
         if w in NEGATION:
             neg = SCOPE
             continue

@@ -81,6 +81,11 @@ def test_grammar_scopes():
     assert toxicity.clause_masses("i will kill you".split(), i)[4] == 1.0 and toxicity.clause_masses("kill the lights".split(), i)[4] == 0.0
 
 
+@pytest.mark.parametrize("text", ["I will kill, you", '"kill you', "*kill* you", "(kill) you"])
+def test_threats_with_marks(text):
+    assert toxicity.features(text, toxicity.Insults({}))[6] == math.log1p(1.0)
+
+
 def test_toxicity_learns_and_scores(spark, docs):
     r = random.Random(2)
     clean = [" ".join(r.choice(["the", "house", "green", "walk", "river"]) for _ in range(30)) for _ in range(120)]
