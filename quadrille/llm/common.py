@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,7 +30,9 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.environ.setdefault("QUADRILLE_SCRATCH", tempfile.mkdtemp(prefix="quadrille-"))
+        if "QUADRILLE_SCRATCH" not in os.environ:
+            os.environ["QUADRILLE_SCRATCH"] = tempfile.mkdtemp(prefix="quadrille-")
+        base = os.environ["QUADRILLE_SCRATCH"]
     return f"{base.rstrip('/')}/quadrille-{what}-{uuid.uuid4().hex}"
 
 
@@ -77,24 +78,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def bounded_sample(df: DataFrame, by: str, order: list[str], most: dict, default: int = 0) -> DataFrame:
-    """Rows of the values of column `by`: of each value v at most most.get(v, default) rows, those whose hash of `order` is least.
+def bounded_sample(df: DataFrame, by: str, key: str, most: Column) -> DataFrame:
+    """Rows of df of a bounded number of keys of every value of column `by`: at most `most` (of that value) each.
 
-    The rows of each value are counted first, so a hash threshold leaves a few times the wanted number before any
-    is shuffled; what is ranked does not grow with the table, and one value may hold most of the rows.
+    Chosen are the keys whose hash is least; of rows that share value and key one stays, the least. Only values, their
+    counts and hashes are ranked, and a threshold on the hash leaves a few times the wanted number before that, so
+    one value may hold most of the rows and there may be any number of values. Rows without a value or key are left out.
     """
-    kinds = 1024
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(kinds).collect()
-    h = F.xxhash64(*order)
-    share = F.lit(0)
-    for r in counts:
-        want = most.get(r[0], default)
-        share = F.when(F.col(by) == F.lit(r[0]), F.lit(min(1 << 30, math.ceil((4 * want + 200) / r[1] * (1 << 30))) if want else 0)).otherwise(share)
-    limit = F.lit(default)
-    for v, n in most.items():
-        limit = F.when(F.col(by) == F.lit(v), F.lit(n)).otherwise(limit)
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("__h", *order))
-    return df.withColumn("__h", h).filter(F.pmod(F.col("__h"), F.lit(1 << 30)) < share).withColumn("__r", rank).filter(F.col("__r") <= limit).drop("__r", "__h")
+    rows = df.filter(F.col(by).isNotNull() & F.col(key).isNotNull()).withColumn("__h", F.xxhash64(key))
+    shares = rows.groupBy(F.col(by).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    shares = shares.select("__v", most.alias("__most"), (F.lit(float(1 << 64)) * F.least(F.lit(1.0), (4 * most + 200) / F.col("__n")) - F.lit(float(1 << 63))).alias("__below"))
+    # Written tables of one row a value: their size is known, so Spark broadcasts them as long as they are small.
+    shares = stored(shares, "shares")
+    near = rows.select(F.col(by).alias("__w"), "__h").join(shares, F.col("__w") == F.col("__v")).filter(F.col("__h") <= F.col("__below"))
+    near = near.groupBy("__v", "__h").agg(F.first("__most").alias("__most"))
+    rank = F.row_number().over(Window.partitionBy("__v").orderBy("__h"))
+    last = near.withColumn("__r", rank).filter(F.col("__r") <= F.col("__most")).groupBy("__v").agg(F.max("__h").alias("__last"))
+    chosen = rows.join(stored(last, "last"), F.col(by) == F.col("__v")).filter(F.col("__h") <= F.col("__last"))
+    others = [c for c in df.columns if c != by]
+    return chosen.groupBy("__v", "__h").agg(F.min(F.struct(*others)).alias("__row")).select(F.col("__v").alias(by), "__row.*")
 
 
 class WordHasher:

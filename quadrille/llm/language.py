@@ -4,20 +4,21 @@ Each language has a context tree of up to three bytes over the case-folded UTF-8
 has seen costs -log2(count / (total + distinct)) bits there; another one costs the escape,
 -log2(distinct / (total + distinct)), and is looked for in the next shorter context, at last in the uniform
 one over 256 bytes; a context that a language has never seen is passed over without a cost. Statistics are
-frozen after training, so the exact code length of every byte under every language is computed once for each
-context that any language knows and looked up afterwards: a text costs two array look-ups a byte. The text
-goes to the language with the shortest code.
-
-Training reads the whole texts of at most SAMPLE_PER_LANGUAGE labelled rows a language, chosen by a hash of
-text and id; scoring reads every whole text. Languages are the LANGUAGES most frequent labels of the sample
-(ties go to the first in alphabetical order). Defined results: null texts and texts without a letter are `und` with
-score 0, as is every text where there is nothing to learn from; equal texts get equal results.
+frozen after training and kept as sorted tables, one for each language and order, so memory follows what was seen.
+The exact code length (in double precision) of every distinct run of four bytes of a block of texts is found once
+for each language and summed over the texts. A text goes to the language with the shortest code.
+
+Training reads the whole texts of at most SAMPLE_PER_LANGUAGE labelled ids a language, chosen by a hash of the
+id; the counts are taken by the executors, and only counts reach the driver. Every label is learnt, however many
+there are. Scoring reads every whole text. Defined results: null texts and texts without a letter are `und` with
+score 0, as is every text where there is nothing to learn from; equal texts get equal results; ties go to the
+first language in alphabetical order; labelled rows that share an id count once, those without an id not at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,9 @@ from .common import bounded_sample, kept_by_worker
 from .tokenization import blocks
 
 ORDER = 3
-SAMPLE_PER_LANGUAGE, LANGUAGES = 500, 64
+SAMPLE_PER_LANGUAGE = 500
 UNKNOWN = "und"
-#: Contexts of the longest order that were seen once in all are left to the shorter ones.
-LEAST = 2
+_START = b"\n" * ORDER
 
 
 def folded(text: str) -> bytes:
@@ -39,38 +39,83 @@ def folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
+def grams(texts: list[bytes]) -> np.ndarray:
+    """The run of four bytes that ends at each byte of each text, as one number; a text begins after line feeds."""
+    parts = []
+    for t in texts:
+        s = np.frombuffer(_START + t, np.uint8).astype(np.uint32)
+        parts.append(s[:-3] << np.uint32(24) | s[1:-2] << np.uint32(16) | s[2:-1] << np.uint32(8) | s[3:])
+    return np.concatenate([*parts, np.empty(0, np.uint32)])
+
+
+def counted(runs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct runs of 1 to ORDER + 1 bytes, as numbers, and how often each was seen."""
+    return [np.unique(runs & np.uint32((1 << 8 * (k + 1)) - 1) if k < ORDER else runs, return_counts=True) for k in range(ORDER + 1)]
+
+
+@dataclass
+class Tree:
+    """The context tree of one language: for each order the seen runs with their bits, and the contexts with their escapes."""
+
+    runs: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    @classmethod
+    def frozen(cls, counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+        """From distinct runs and their counts, order by order."""
+        tree = cls([], [], [], [])
+        for runs, times in counts:
+            contexts, at = np.unique(runs >> np.uint32(8), return_inverse=True)
+            totals, kinds = np.bincount(at, weights=times), np.bincount(at)
+            tree.runs.append(runs)
+            tree.bits.append(-np.log2(times / (totals + kinds)[at]) if len(runs) else np.empty(0))
+            tree.contexts.append(contexts)
+            tree.escapes.append(-np.log2(kinds / (totals + kinds)) if len(runs) else np.empty(0))
+        return tree
+
+    def code_lengths(self, runs: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run of four."""
+        out, open_ = np.zeros(len(runs)), np.arange(len(runs))
+        for k in range(ORDER, -1, -1):
+            own = runs[open_] if k == ORDER else runs[open_] & np.uint32((1 << 8 * (k + 1)) - 1)
+            seen, at = _found(self.runs[k], own)
+            out[open_[seen]] += self.bits[k][at[seen]]
+            open_, own = open_[~seen], own[~seen] >> np.uint32(8)
+            known, at = _found(self.contexts[k], own)
+            out[open_[known]] += self.escapes[k][at[known]]
+        out[open_] += 8.0  # the uniform model over 256 bytes
+        return out
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in a sorted table, and where."""
+    at = np.searchsorted(table, keys)
+    inside = at < len(table)
+    inside[inside] = table[at[inside]] == keys[inside]
+    return inside, at
+
+
 @dataclass
 class Model:
-    """Code lengths in bits by context and byte for every language."""
+    """The trees of the languages, in alphabetical order."""
 
-    languages: list[str]
-    symbols: np.ndarray  # byte -> dense symbol; 0: not seen in training
-    context: np.ndarray  # dense code of three symbols -> row of bits / number of symbols
-    bits: np.ndarray  # (contexts * symbols, languages)
-    size: int
+    languages: list[str] = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
-        ends = np.cumsum([len(t) + ORDER for t in texts])
-        data = np.frombuffer(b"".join([b"\n" * ORDER + t for t in texts]), np.uint8)
-        s = self.symbols[data]
-        at = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
-        row = self.context[at] * self.size + s[3:]
-        out = np.empty((len(texts), len(self.languages)))
-        last = 0
-        for i, e in enumerate(ends.tolist()):  # the last ORDER positions before an end belong to the next text's padding
-            out[i] = self._total(row[last : e - ORDER])
-            last = e
+        out = np.zeros((len(texts), len(self.languages)))
+        runs, inverse = np.unique(grams(texts), return_inverse=True)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        there = np.flatnonzero(sizes)
+        if len(there):
+            starts = np.concatenate([[0], np.cumsum(sizes[there])[:-1]])
+            for j, tree in enumerate(self.trees):
+                out[there, j] = np.add.reduceat(tree.code_lengths(runs)[inverse], starts)
         return out
 
-    def _total(self, rows: np.ndarray) -> np.ndarray:
-        """Sum of the given rows of bits; by products with ones, a block at a time."""
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(rows), 4096):
-            part = self.bits[rows[at : at + 4096]]
-            total += np.ones(len(part), np.float32) @ part
-        return total
-
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and bits a byte of each text."""
         names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
@@ -89,77 +134,42 @@ class Model:
 
 
 def train(samples: dict[str, list[bytes]]) -> Model:
-    """Frozen statistics of the sample texts by language."""
+    """Frozen statistics of sample texts by language."""
     languages = sorted(samples)
-    symbols = np.zeros(256, np.int64)
-    seen = sorted({b for texts in samples.values() for t in texts for b in set(t)} | {10})
-    symbols[seen] = np.arange(1, len(seen) + 1)
-    n = len(seen) + 1
-    coded = {k: symbols[np.frombuffer(b"".join([b"\n" * ORDER + t for t in v]), np.uint8)] for k, v in samples.items()}
-
-    def codes(s: np.ndarray, order: int) -> np.ndarray:
-        """Context of `order` symbols and the symbol after it, as one number."""
-        out = np.zeros(max(len(s) - ORDER, 0), np.int64)
-        for j in range(ORDER - order, ORDER + 1):
-            out = out * n + s[j : len(s) - ORDER + j]
-        return out
-
-    counts = {(k, order): np.unique(codes(coded[k], order), return_counts=True) for k in languages for order in range(ORDER + 1)}
-    # The contexts that get a row of their own: number 0 is the empty one.
-    known: list[np.ndarray] = [np.zeros(1, np.int64)]
-    for order in range(1, ORDER + 1):
-        keys, times = np.concatenate([counts[k, order][0] // n for k in languages] or [np.zeros(0, np.int64)]), np.concatenate([counts[k, order][1] for k in languages] or [np.zeros(0, np.int64)])
-        u, inverse = np.unique(keys, return_inverse=True)
-        known.append(u[np.bincount(inverse, weights=times) >= (LEAST if order == ORDER else 1)] if len(u) else u)
-    first = np.cumsum([0, *(len(k) for k in known)])
-    bits = np.zeros((int(first[-1]), n, len(languages)), np.float32)
-    for j, lang in enumerate(languages):
-        keys, times = counts[lang, 0]
-        total = float(times.sum())
-        row = np.full(n, 8.0)  # the uniform model over 256 bytes
-        if total:
-            row = row - np.log2(len(keys) / (total + len(keys)))
-            row[keys] = -np.log2(times / (total + len(keys)))
-        bits[0, :, j] = row
-        for order in range(1, ORDER + 1):
-            keys, times = counts[lang, order]
-            contexts = known[order]
-            shorter = contexts % n ** (order - 1)
-            base = bits[first[order - 1] + np.searchsorted(known[order - 1], shorter), :, j] if order > 1 else np.repeat(bits[:1, :, j], len(contexts), axis=0)
-            at = np.searchsorted(contexts, keys // n)
-            there = (at < len(contexts)) & (contexts[np.minimum(at, max(len(contexts) - 1, 0))] == keys // n) if len(contexts) else np.zeros(len(keys), bool)
-            at, sym, times = at[there], keys[there] % n, times[there].astype(float)
-            totals = np.bincount(at, weights=times, minlength=len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts)).astype(float)
-            escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(totals + kinds, 1)), 0.0)
-            rows = base + escape[:, None].astype(np.float32)
-            rows[at, sym] = -np.log2(times / (totals[at] + kinds[at]))
-            bits[first[order] : first[order + 1], :, j] = rows
-    context = np.zeros(n**ORDER, np.int32)
-    tail = np.arange(n**ORDER, dtype=np.int64)
-    for order in range(1, ORDER + 1):
-        if not len(known[order]):
-            continue
-        suffix = tail % n**order
-        at = np.minimum(np.searchsorted(known[order], suffix), len(known[order]) - 1)
-        found = known[order][at] == suffix
-        context[found] = (first[order] + at[found]).astype(np.int32)
-    return Model(languages, symbols, context, bits.reshape(len(bits) * n, len(languages)), n)
-
-
-def sampled(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[bytes]]:
-    """At most per_language labelled texts of each of the LANGUAGES most frequent labels; nothing else reaches the driver."""
-    rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    out: dict[str, list[bytes]] = {}
-    for r in bounded_sample(rows, "lang", ["doc_id", "text"], {}, per_language).select("lang", "text").collect():
-        out.setdefault(r[0], []).append(folded(r[1]))
-    most = sorted(out, key=lambda k: (-len(out[k]), k))[:LANGUAGES]
-    return {k: sorted(out[k]) for k in most}
-
-
-def fit(df: DataFrame) -> Model:
-    """A model from the columns doc_id, text and lang of labelled rows."""
-    return train(sampled(df))
+    return Model(languages, [Tree.frozen(counted(grams(samples[k]))) for k in languages])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, k, run, n: how often each run of k + 1 bytes was seen in the texts of a task, a block at a time."""
+    for batch in batches:
+        for rows, texts in blocks(batch, 1):
+            labels = np.array(rows.column(0).to_pylist(), object)
+            for lang in sorted(set(labels.tolist())):
+                for k, (runs, n) in enumerate(counted(grams([folded(texts[i]) for i in np.flatnonzero(labels == lang)]))):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(runs), pa.string()), pa.array(np.full(len(runs), k, np.int32)), pa.array(runs.astype(np.int64)), pa.array(n)], names=["lang", "k", "run", "n"])
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """One row for each order of one language: its runs in ascending order and their counts, as bytes."""
+    order, run, n = (table.column(c).to_numpy() for c in ("k", "run", "n"))
+    rows = []
+    for k in np.unique(order):
+        at = np.flatnonzero(order == k)
+        at = at[np.argsort(run[at])]
+        rows.append((table.column("lang")[0].as_py(), int(k), run[at].astype("<u4").tobytes(), n[at].astype("<i8").tobytes()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "k", "runs", "n"])
+
+
+def fit(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """A model from the columns doc_id, text and lang of labelled rows; texts stay with the executors."""
+    rows = bounded_sample(df.select("lang", "doc_id", "text"), "lang", "doc_id", F.lit(per_language))
+    seen = rows.select("lang", "text").mapInArrow(_partial, "lang string, k int, run long, n long")
+    seen = seen.groupBy("lang", "k", "run").agg(F.sum("n").alias("n"))
+    found: dict[str, dict[int, tuple]] = {}
+    for lang, k, runs, n in seen.groupBy("lang").applyInArrow(_packed, "lang string, k int, runs binary, n binary").collect():
+        found.setdefault(lang, {})[k] = (np.frombuffer(bytes(runs), "<u4"), np.frombuffer(bytes(n), "<i8"))
+    languages = sorted(found)
+    return Model(languages, [Tree.frozen([found[lang][k] for k in range(ORDER + 1)]) for lang in languages])
 
 
 def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -3,11 +3,18 @@
 A configuration is a multiset of lengths that fits a sequence; the program asks for as few configurations as
 cover the length histogram. It is solved by multiplicative weights: a knapsack dynamic program prices the
 configurations under the present weights (one run gives, for every length, the best configuration that holds
-it), near-best ones get an amount, and lengths that are covered beyond their share get lighter. Amounts of
-exact fills are rounded down to whole copies, the rest of the histogram is solved again, and what is left at the
-end is filled largest first with exact complements where there are any. Where that stays above the lower bound
-(lengths that are few have no exact fills), the program is solved once more with weights that move until the bound
-settles, every configuration priced near the best is copied, and the plan of fewer sequences is taken.
+it); those near the best get an amount, the share of the scarcest of their lengths, and a length's weight is
+multiplied by exp(-STEP * what covers it / its count), run by run. In a run each weight is lowered by a little
+chance besides, so that of the many configurations of the same price others are found each time.
+
+Amounts are rounded to whole copies by largest remainder: first the whole parts, then one copy of each configuration
+in the order of what is over, as long as its lengths are left. What no copy took is solved again, round by round,
+until the number of sequences is within GAP of the bound that the weights prove, or a round takes nothing more. Only what is
+left then is filled largest first, with exact complements where there are any.
+
+The first attempt copies configurations without waste only. Where that stays above the bound (lengths that are few
+have no exact fills), the program is solved once more with weights that move until primal and bound are within
+SETTLED of each other, every configuration priced near the best is copied, and the plan of fewer sequences is taken.
 
 Only the histogram (at most `capacity` numbers) reaches the driver, and only the configurations, whose number
 does not depend on the rows, go back. Pieces are numbered within their length by counts for each length and
@@ -20,6 +27,7 @@ repeated rows are packed each for itself; an empty table packs into no sequences
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,15 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import mix64, stored
 from .tokenization import ENCODER_BLOCK, blocks, encoder_of
 
 CAPACITY, END = 4096, 1
-#: Runs of the pricing program in each round, rounds, and how fast weights change.
-ITERATIONS, ROUNDS, RATE, NEAR_BEST = 40, 4, 0.5, 0.002
-#: The same for histograms of few lengths: most runs of a round, rounds, the step of the weights, the gap at which the
-#: bound has settled, and how far below the best price a configuration may be; runs over many lengths are fewer.
-PRICED_RUNS, PRICED_ROUNDS, STEP, SETTLED, SLACK, MANY = 300, 6, 0.05, 0.001, 0.01, 2000
+#: Runs of the pricing program in each round, rounds, the step of the weights, the chance in them, and how far below the
+#: best price a configuration of a run may be; the integer solution stops within GAP sequences of the bound.
+RUNS, ROUNDS, STEP, CHANCE, NEAR_BEST, GAP = 30, 16, 0.002, 0.0005, 0.002, 1
+#: For histograms without exact fills: most runs of a round, rounds, the step, the gap of primal and bound at which the
+#: weights have settled, and how far below the best price a copied configuration may be; runs over many lengths are fewer.
+PRICED_RUNS, PRICED_ROUNDS, PRICED_STEP, SETTLED, SLACK, MANY, FEWER = 300, 6, 0.05, 0.001, 0.01, 2000, 40
 
 
 def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,78 +102,97 @@ def price(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, taken
 
 
-def _taken(taken: np.ndarray, room: int) -> list[int]:
-    """The lengths of the best filling of a capacity."""
-    out = []
-    while room > 0:
-        if taken[room]:
-            out.append(int(taken[room]))
-            room -= int(taken[room])
-        else:
-            room -= 1
+def _fillings(taken: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The distinct best configurations that hold each of the given lengths: rows of lengths in descending order, then zeros."""
+    room, columns = len(taken) - 1 - first, [first]
+    while (t := taken[room]).any():
+        columns.append(t)
+        room = room - t
+    configs = -np.sort(-np.array(columns).T, axis=1)
+    return configs[np.unique(_hashed(configs), return_index=True)[1]]
+
+
+def _hashed(configs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each configuration, whatever the order of its lengths; zeros don't count."""
+    of = mix64(np.arange(int(configs.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.zeros(len(configs), np.uint64)
+    for column in configs.T:
+        out += of[column]
     return out
 
 
-def fractional(counts: np.ndarray, iterations: int = ITERATIONS) -> tuple[dict[tuple[int, ...], float], float]:
-    """Amounts of configurations by multiplicative weights, and the best lower bound on the program (from its dual)."""
-    n = len(counts) - 1
+def _amounts(configs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An amount for each configuration, by its scarcest length, and what they cover of each length."""
+    use = np.bincount(configs.ravel(), minlength=len(counts)).astype(float)
+    share = np.full(len(counts), np.inf)
+    there = np.flatnonzero(use[1:]) + 1
+    share[there] = counts[there] / use[there]
+    share[0] = np.inf
+    x = share[configs].min(axis=1)
+    covers = np.bincount(configs.ravel(), weights=np.repeat(x, configs.shape[1]), minlength=len(counts))
+    covers[0] = 0
+    return x, covers
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct configurations of several runs and the sums of their amounts."""
+    width = max(c.shape[1] for c, _ in found)
+    rows = np.concatenate([np.pad(c, ((0, 0), (0, width - c.shape[1]))) for c, _ in found])
+    _, first, at = np.unique(_hashed(rows), return_index=True, return_inverse=True)
+    return rows[first], np.bincount(at, weights=np.concatenate([x for _, x in found]))
+
+
+def fractional(counts: np.ndarray, k: int = 0, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Configurations without waste, their amounts by multiplicative weights, and the best lower bound (from the dual); k seeds the chance."""
+    n, rng = len(counts) - 1, np.random.default_rng(k)
     lengths = np.flatnonzero(counts)
     weights = np.full(n + 1, -np.inf)
     weights[lengths] = lengths / n
-    amounts: dict[tuple[int, ...], float] = {}
-    covered, bound = np.zeros(n + 1), 0.0
-    share = counts[lengths] * lengths / n / iterations
-    for t in range(iterations):
-        best, taken = price(weights)
-        bound = max(bound, float((counts[lengths] * weights[lengths]).sum() / best[n]))
-        value = weights[lengths] + best[n - lengths]
-        for l, x in zip(lengths[value >= (1 - NEAR_BEST) * best[n]].tolist(), share[value >= (1 - NEAR_BEST) * best[n]].tolist(), strict=True):  # noqa: E741
-            config = tuple(sorted([l, *_taken(taken, n - l)], reverse=True))
-            amounts[config] = amounts.get(config, 0.0) + x
-            for item in config:
-                covered[item] += x
-        over = covered[lengths] / counts[lengths] - (t + 1) / iterations
-        weights[lengths] = lengths / n * np.exp(-RATE * np.clip(over, -1, 1) * NEAR_BEST)
-    return amounts, bound
-
-
-def priced(counts: np.ndarray, runs: int = PRICED_RUNS) -> tuple[dict[tuple[int, ...], float], float]:
-    """Amounts of the configurations that the settled weights price near the best, exact fills or not, and the bound.
-
-    In each run the best configuration of every length whose price is near the best grows until one of its lengths is
-    covered once more; lengths lose weight by what covers them.
-    """
+    # The lengths, as shares of the capacity, are feasible weights: the first bound.
+    found, covered, bound = [], np.zeros(n + 1), float((counts * np.arange(n + 1)).sum()) / n
+    for _ in range(runs):
+        own = weights.copy()
+        own[lengths] *= 1 - CHANCE * rng.random(len(lengths))
+        best, taken = price(own)
+        bound = max(bound, float((counts[lengths] * own[lengths]).sum() / best[n]))
+        near = lengths[own[lengths] + best[n - lengths] >= (1 - NEAR_BEST) * best[n]]
+        configs = _fillings(taken, near)
+        x, covers = _amounts(configs, counts)
+        covered += covers
+        weights[lengths] *= np.exp(-STEP * covers[lengths] / counts[lengths])
+        exact = configs.sum(axis=1) == n
+        found.append((configs[exact], x[exact]))
+    configs, x = _merged(found)
+    return configs, x / (covered[lengths] / counts[lengths]).mean(), bound
+
+
+def priced(counts: np.ndarray, k: int = 0, runs: int = PRICED_RUNS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Configurations that the settled weights price near the best, exact fills or not, their amounts, and the bound."""
     n = len(counts) - 1
     lengths = np.flatnonzero(counts)
     if (n // lengths).sum() > MANY:
-        runs = min(runs, ITERATIONS)
+        runs = min(runs, FEWER)
     weights = np.full(n + 1, -np.inf)
     weights[lengths] = lengths / n
-    amounts: dict[tuple[int, ...], float] = {}
-    covered, bound, settled = np.zeros(n + 1), 0.0, weights.copy()
+    found, covered, bound, total, settled = [], np.zeros(n + 1), 0.0, 0.0, weights.copy()
     for _ in range(runs):
         best, taken = price(weights)
         dual = float((counts[lengths] * weights[lengths]).sum() / best[n])
         if dual > bound:
             bound, settled = dual, weights / best[n]
-        value = weights[lengths] + best[n - lengths]
-        near = lengths[value >= (1 - NEAR_BEST) * best[n]].tolist()
-        configs = {tuple(sorted([l, *_taken(taken, n - l)], reverse=True)) for l in near}  # noqa: E741
-        use = np.zeros(n + 1)
-        for config in configs:
-            np.add.at(use, list(config), 1.0)
-        step = np.zeros(n + 1)
-        for config in sorted(configs):
-            x = min(float(counts[l] / use[l]) for l in config)  # noqa: E741
-            amounts[config] = amounts.get(config, 0.0) + x
-            np.add.at(step, list(config), x)
-        covered += step
-        weights[lengths] *= np.exp(-STEP * step[lengths] / counts[lengths])
+        configs = _fillings(taken, lengths[weights[lengths] + best[n - lengths] >= (1 - NEAR_BEST) * best[n]])
+        x, covers = _amounts(configs, counts)
+        found.append((configs, x))
+        covered += covers
+        total += float(x.sum())
+        weights[lengths] *= np.exp(-PRICED_STEP * covers[lengths] / counts[lengths])
         least = float((covered[lengths] / counts[lengths]).min())
-        if least and sum(amounts.values()) / least <= (1 + SETTLED) * bound:
+        if least and total / least <= (1 + SETTLED) * bound:
             break
-    least = float((covered[lengths] / counts[lengths]).mean())
-    return {c: x / least for c, x in amounts.items() if sum(settled[l] for l in c) >= 1 - SLACK}, bound  # noqa: E741
+    configs, x = _merged(found)
+    settled[0] = 0.0
+    good = settled[configs].sum(axis=1) >= 1 - SLACK
+    return configs[good], x[good] / (covered[lengths] / counts[lengths]).mean(), bound
 
 
 def _complement(left: np.ndarray, room: int) -> list[int]:
@@ -192,55 +220,73 @@ def solve(counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], float]
     """Configurations with their whole numbers of copies, which hold each length exactly as often as counted; a lower bound."""
     n = len(counts) - 1
     left = counts.astype(np.int64).copy()
-    plan: list[tuple[tuple[int, ...], int]] = []
-    bound = 0.0
-    if left[n]:
-        plan.append(((n,), int(left[n])))
-        bound += float(left[n])
-        left[n] = 0
-    filled, lower = _rounded(left, fractional, ROUNDS, True)
-    if sum(x for _, x in filled) > np.ceil(lower - 1e-9) + max(1, lower * SETTLED):
-        other, dual = _rounded(left, priced, PRICED_ROUNDS, False)
+    full = int(left[n])
+    left[n] = 0
+    plan, lower, rest = rounded(left, fractional, ROUNDS)
+    plan += filled(rest)
+    if _sequences(plan) > np.ceil(lower - 1e-9) + max(GAP, lower * SETTLED):
+        other, dual, rest = rounded(left, priced, PRICED_ROUNDS)
         lower = max(lower, dual)
-        filled = min(filled, other, key=lambda f: sum(x for _, x in f))
-    return plan + filled, bound + lower
+        plan = min(plan, other + filled(rest), key=_sequences)
+    return ([((n,), full)] if full else []) + plan, full + lower
+
 
+def _sequences(plan: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(copies for _, copies in plan)
 
-def _rounded(counts: np.ndarray, program: Callable, rounds: int, exact: bool) -> tuple[list[tuple[tuple[int, ...], int]], float]:
-    """Configurations with their whole copies by rounds of a program (its exact fills only, or all), and its lower bound."""
-    n, left = len(counts) - 1, counts.copy()
-    plan: list[tuple[tuple[int, ...], int]] = []
-    lower = 0.0
+
+def rounded(counts: np.ndarray, program: Callable, rounds: int) -> tuple[list[tuple[tuple[int, ...], int]], float, np.ndarray]:
+    """Whole copies of the program's configurations by largest remainder, round by round, its bound, and what no copy took."""
+    left, plan, lower = counts.copy(), [], 0.0
     for k in range(rounds):
         before = int(left.sum())
-        if not before or exact and k and before < 2 * n:
+        if not before:
             break
-        amounts, dual = program(left)
+        configs, amounts, dual = program(left, k)
         lower = lower or dual
-        for config, x in sorted(amounts.items(), key=lambda a: (-a[1], a[0])):
-            need = {}
-            for l in config:  # noqa: E741
-                need[l] = need.get(l, 0) + 1
-            copies = min(int(x), *(int(left[l]) // a for l, a in need.items()))
-            if copies and (sum(config) == n or not exact):
-                plan.append((config, copies))
-                for l, a in need.items():  # noqa: E741
-                    left[l] -= a * copies
-        if int(left.sum()) > 0.9 * before:
+        rows, whole = configs[np.argsort(-amounts, kind="stable")], np.sort(-amounts)
+        _copy(rows, (-whole).astype(np.int64), left, plan)
+        over = amounts - np.floor(amounts)
+        _copy(configs[np.argsort(-over, kind="stable")], np.ones(len(over), np.int64), left, plan)
+        if int(left.sum()) > 0.98 * before:
             break
+    return plan, lower, left
+
+
+def _copy(configs: np.ndarray, copies: np.ndarray, left: np.ndarray, plan: list[tuple[tuple[int, ...], int]], block: int = 1024) -> None:
+    """Add as many copies of each configuration as wanted and there are lengths left for, in the given order."""
+    wanted = copies > 0
+    configs, copies, at = configs[wanted], copies[wanted], 0
+    while at < len(configs):
+        for config, most in zip(configs[at : at + block].tolist(), copies[at : at + block].tolist(), strict=True):
+            need = Counter(config)
+            need.pop(0, None)
+            x = min(most, *(int(left[l]) // a for l, a in need.items()))  # noqa: E741
+            if x:
+                plan.append((tuple(l for l in config if l), x))  # noqa: E741
+                for l, a in need.items():  # noqa: E741
+                    left[l] -= a * x
+        at += block
+        there = left > 0
+        there[0] = True
+        able = there[configs[at:]].all(axis=1)  # those that lack a length are passed over at once
+        configs, copies, at = configs[at:][able], copies[at:][able], 0
+
+
+def filled(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """What is left, largest first, with exact complements where there are any."""
+    n, left, plan = len(left) - 1, left.copy(), []
     while left.any():
         l = int(np.flatnonzero(left)[-1])  # noqa: E741
         left[l] -= 1
         config = tuple(sorted([l, *_complement(left, n - l)], reverse=True))
         left[l] += 1
-        need = {}
-        for x in config:
-            need[x] = need.get(x, 0) + 1
+        need = Counter(config)
         copies = min(int(left[x]) // a for x, a in need.items())
         plan.append((config, copies))
         for x, a in need.items():
             left[x] -= a * copies
-    return plan, lower
+    return plan
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

@@ -22,17 +22,15 @@ def test_code_lengths_equal_a_plain_model():
 
     def plain(lang, text):
         """Escape to shorter contexts, one byte at a time."""
-        counts, known = {}, {}
-        for name, v in samples.items():
-            s = b"".join(b"\n" * 3 + t for t in v)  # a text ends with line feeds
+        counts = {}
+        for s in (b"\n" * 3 + t for t in samples[lang]):
             for i in range(3, len(s)):
-                known[s[i - 3 : i]] = known.get(s[i - 3 : i], 0) + 1
-                for k in range(4 if name == lang else 0):
+                for k in range(4):
                     counts.setdefault(s[i - k : i], {}).setdefault(s[i], 0)
                     counts[s[i - k : i]][s[i]] += 1
         total, s = 0.0, b"\n" * 3 + text
         for i in range(3, len(s)):
-            k = 3 if known.get(s[i - 3 : i], 0) >= language.LEAST else 2
+            k = 3
             while k >= 0:
                 c = counts.get(s[i - k : i], {})
                 n, kinds = sum(c.values()), len(c)
@@ -49,7 +47,27 @@ def test_code_lengths_equal_a_plain_model():
     texts = [b"abcab abc", b"dde abd", b"zzz", b""]
     got = m.code_lengths(texts)
     for i, t in enumerate(texts):
-        assert got[i] == pytest.approx([plain("x", t), plain("y", t)], abs=1e-3)
+        assert got[i] == pytest.approx([plain("x", t), plain("y", t)], abs=1e-9)
+
+
+def test_every_language_is_learnt(spark, docs):
+    """A hundred labels, a bounded number of rows each, repeated ids once; counts of the executors equal those of one place."""
+    r = random.Random(8)
+    words = [["".join(chr(0x4E00 + 7 * k + r.randrange(7)) + r.choice("aeiou") for _ in range(4)) for _ in range(6)] for k in range(100)]
+    texts = [" ".join(r.choice(words[k]) for _ in range(12)) for _ in range(5) for k in range(100)]
+    langs = [f"l{k:02}" for _ in range(5) for k in range(100)]
+    m = language.fit(docs(texts, langs=langs))
+    assert m.languages == sorted(set(langs)) and m.predict(texts)[0] == langs
+    whole = language.train({k: [language.folded(t) for t, x in zip(texts, langs) if x == k] for k in set(langs)})
+    sample = [language.folded(t) for t in texts[::9]]
+    assert np.array_equal(m.code_lengths(sample), whole.code_lengths(sample))
+    few = language.fit(docs(texts + texts, ids=[*range(500), *range(500)], langs=langs + langs), per_language=3)
+    assert few.languages == m.languages and {int(t.bits[0].size > 0) for t in few.trees} == {1}
+
+
+def test_language_of_long_texts():
+    m = language.train({"x": [b"abcab " * 50], "y": [b"xyzzy " * 50]})
+    assert m.predict(["abcab " * 400_000, "xyzzy " * 400_000 + "a"])[0] == ["x", "y"]
 
 
 def test_language_edges(spark, docs):
@@ -72,18 +90,72 @@ def test_language_held_out_accuracy(spark):
 # Toxicity.
 
 
+def in_turn(machines, classes):
+    """What transducers do one after another, each reading what the one before wrote."""
+    total = np.zeros(len(toxicity.MASSES))
+    for m in machines:
+        classes, masses = m.run(classes)
+        total += masses
+    return classes, total
+
+
+def test_composition_equals_the_transducers_in_turn():
+    r = random.Random(12)
+    machines, whole = toxicity.parts(), toxicity.grammar()
+    assert len(machines) == 5 and whole.next.shape[0] > max(m.next.shape[0] for m in machines)
+    for _ in range(3000):
+        clause = [r.randrange(len(toxicity.WORDS)) for _ in range(r.randint(0, 14))]
+        (want, masses), (got, total) = in_turn(machines, clause), whole.run(clause)
+        assert got == want and total == pytest.approx(masses)
+
+
+def plain_masses(classes):
+    """The masses by their definitions, word by word, without automata."""
+    out, said, left = dict.fromkeys(toxicity.MASSES, 0.0), False, 0
+    plain = []  # places of plain insults and threats
+    targets = [i for i, c in enumerate(classes) if c == "target"]
+    for i, c in enumerate(classes):
+        what = "threat" if c == "threat" else "insult" if c in toxicity.INSULT else ""
+        how = "negated" if left else "reported" if said else "plain"
+        if what == "insult":
+            out[how] += toxicity.LEVELS[toxicity.INSULT.index(c)]
+        if what and how == "plain":
+            plain.append((i, what, c))
+        said, left = said or c == "reported", toxicity.SCOPE if c == "negation" else max(left - 1, 0)
+    for i, what, c in plain:
+        if what == "threat":
+            out["threat"] += any(0 < t - i <= toxicity.NEAR for t in targets)
+        elif any(abs(t - i) <= toxicity.NEAR for t in targets):
+            out["targeted"] += toxicity.LEVELS[toxicity.INSULT.index(c)]
+    return [out[m] for m in toxicity.MASSES]
+
+
+def test_grammar_equals_its_definitions():
+    r = random.Random(13)
+    for _ in range(4000):
+        classes = [r.choice(toxicity.WORDS) for _ in range(r.randint(0, 16))]
+        assert toxicity.grammar().run([toxicity.CLASSES.index(c) for c in classes])[1] == pytest.approx(plain_masses(classes)), classes
+
+
 def test_grammar_scopes():
-    i = toxicity.Insults({"idio": 2.0})
-    assert toxicity.clause_masses("what an idiot".split(), i) == (2.0, 0, 0, 0, 0)
-    assert toxicity.clause_masses("you utter idiot".split(), i)[3] == 2.0
-    assert toxicity.clause_masses("he is not an idiot".split(), i)[:2] == (0, 2.0)
-    assert toxicity.clause_masses("someone said idiot".split(), i)[:3] == (0, 0, 2.0)
-    assert toxicity.clause_masses("i will kill you".split(), i)[4] == 1.0 and toxicity.clause_masses("kill the lights".split(), i)[4] == 0.0
+    read = toxicity.Reader({"idio": 5.0})
+    masses = lambda t: dict(zip(toxicity.MASSES, read.masses(t.split()), strict=True))
+    assert masses("what an idiot") == dict.fromkeys(toxicity.MASSES, 0.0) | {"plain": 3.5 if 5.0 < toxicity.BETWEEN[1] else 5.5}
+    assert masses("you utter idiot")["targeted"] > 0 and masses("he is not an idiot")["plain"] == 0 < masses("he is not an idiot")["negated"]
+    assert masses("someone said idiot")["reported"] > 0 and masses("i will kill you")["threat"] == 1.0 and masses("kill the lights")["threat"] == 0.0
 
 
 @pytest.mark.parametrize("text", ["I will kill, you", '"kill you', "*kill* you", "(kill) you"])
 def test_threats_with_marks(text):
-    assert toxicity.features(text, toxicity.Insults({}))[6] == math.log1p(1.0)
+    assert toxicity.Reader({}).features(text)[6] == math.log1p(1.0)
+
+
+def test_negated_and_reported_insults_score_below_plain_ones(spark):
+    from quadrille.llm import queries
+
+    m = toxicity.fit(queries.read(spark, SF, "documents"), queries.read(spark, SF, "labels"))
+    plain, negated, reported, nothing, long = m.score(["the house is green. you are an idiot and an idiot.", "the house is green. you are not an idiot nor an idiot.", "the house is green. he said you idiot and idiot.", "the house is green. you are an island and an island.", "the house is green. " * 30_000])
+    assert plain > 0.5 > max(negated, reported, nothing, long) and max(negated, reported) <= nothing + 1e-9
 
 
 def test_toxicity_learns_and_scores(spark, docs):
@@ -190,7 +262,7 @@ def test_pages(spark):
 
 
 def test_pages_equal_their_articles(spark):
-    for r in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect():
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))]
         assert html_text.main_text(r.html) == "\n\n".join(b for b in blocks if b)
@@ -208,12 +280,73 @@ def test_silent_elements_stay_silent():
     assert [b.text for b in html_text.flat_blocks(page)] == ["g"]
 
 
-def test_tree_agrees_with_its_table():
-    for *x, label in html_text.TABLE:
+def decided(found):
+    """Whether the tree keeps each block; those outside are dropped before it."""
+    out = []
+    for b, x in zip(found, html_text.features(found), strict=True):
         node = html_text.tree()
         while node.feature >= 0:
             node = node.low if x[node.feature] <= node.bound else node.high
-        assert node.keep == bool(label)
+        out.append(b.zone >= 0 and node.keep)
+    return out
+
+
+def test_tree_agrees_with_its_pages():
+    right = total = 0
+    for page, labels in html_text.labelled():
+        got = decided(html_text.flat_blocks(page))
+        right, total = right + sum(g == bool(y) for g, y in zip(got, labels, strict=True)), total + len(labels)
+    assert total > 500 and right / total > 0.99
+
+
+HELD_OUT = (
+    """0 <div>{3}</div><ul><li><a>{1}</a></li><li><a>{2}</a></li><li><a>{1}</a></li></ul>
+1 <h1>{6}</h1><p>{52}</p><p>{9}</p><p>{34} <a>{3}</a> {8}</p><p>{12}</p><p>{71}</p><p>{10}</p>
+0 <div><a>{2}</a> <a>{2}</a></div>""",
+    """0 <div class="cookie"><p>{33}</p></div><nav><a>{4}</a></nav>
+1 <article><h1>{4}</h1><p>{20}</p><h2>{2}</h2><p>{3}</p><p>{80}</p><table><tr><td>{3}</td><td>{1}</td></tr></table></article>
+0 <div id="comments"><article><p>{21}</p></article></div><div>{14}</div><footer><p>{26}</p></footer>""",
+    """0 <header><p>{9}</p></header><div class="sidebar">{40}</div>
+1 <main><div><p>{15}</p><p>{6} <a>{1}</a></p><p>{2}</p><p class="lead">{44}</p></div></main>
+0 <form><p>{18}</p></form>""",
+    """0 <p><a>{2}</a> <a>{1}</a> <a>{2}</a></p>
+1 <h1>{5}</h1><p>{130}</p><p>{88}</p><h2>{3}</h2><p>{11}</p><p>{47}</p><p>{9}</p>
+0 <p class="copyright">{6}</p><ul class="related"><li>{9}</li><li><a>{5}</a></li></ul>""",
+    """1 <article><p>{8}</p><p>{5}</p>
+0 <p class="ad">{12}</p>
+1 <p>{60}</p>
+0 <ul class="share"><li>{1}<li>{1}</ul>
+1 <p>{9}</p></article>""",
+)
+
+
+def test_unseen_pages():
+    for page, labels in html_text.labelled(HELD_OUT):
+        assert decided(html_text.flat_blocks(page)) == [bool(y) for y in labels], page
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>" + "a " * 60 + "</p><p>last one here</p></article><div class='comments'><p>" + "b " * 21 + "</p></div>", ["a " * 60, "last one here"]),
+        ("<div class='cookie'>" + "c " * 33 + "</div><h1>Head line</h1><p>" + "a " * 50 + "</p>", ["Head line", "a " * 50]),
+        ("<h1>Head line</h1><p>" + "a " * 50 + "</p><p>" + "b " * 10 + "</p>", ["Head line", "a " * 50, "b " * 10]),
+        ("<p>" + "a " * 50 + "</p><footer>" + "f " * 26 + "</footer>", ["a " * 50]),
+        ("<form><main><p>" + "a " * 9 + "</p></main></form>", ["a " * 9]),
+        ("<div class='has-sidebar'><article><p>" + "a " * 9 + "</p><p hidden>x y z</p></article></div>", ["a " * 9]),
+    ],
+)
+def test_zones_are_not_overruled(page, text):
+    assert html_text.main_text(page) == "\n\n".join(t.strip() for t in text)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<p title=\"x>a'" * 40_000, "<p a='" * 80_000, "<button>" * 80_000, "<svg>" * 80_000, '<a href="' * 99_000, "<select><option>" * 50_000, "<button><svg>" * 50_000, "<div>" * 99_000 + "x" + "</p>" * 99_000, "<!--" * 99_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 5
 
 
 # Neighbours.

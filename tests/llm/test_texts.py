@@ -192,6 +192,32 @@ def test_few_lengths_without_exact_fills():
         assert (used == hist).all() and bound <= sum(c for _, c in plan) <= most * bound + 1
 
 
+def test_most_sequences_are_copies_of_configurations(spark):
+    """On the histogram of a whole table the greedy rest is small and the count is the bound's, rounded up, or one more."""
+    rows = packing.cut_documents(queries.read(spark, "/root/testdata/sf0.1", "documents"), PATH).groupBy("length").count().collect()
+    counts = np.zeros(4097, np.int64)
+    for length, n in rows:
+        counts[length] = n
+    part = counts.copy()
+    part[4096] = 0
+    plan, bound, rest = packing.rounded(part, packing.fractional, packing.ROUNDS)
+    copies, total = sum(x for _, x in plan), sum(x for _, x in packing.solve(counts)[0])
+    assert all(sum(c) == 4096 for c, _ in plan) and copies >= 0.95 * (total - counts[4096])
+    assert rest.sum() < 0.05 * part.sum() and total <= np.ceil(bound) + counts[4096] + 1
+
+
+def test_weights_prove_their_bound():
+    """Amounts cover what they claim, and no run's dual exceeds the least number of sequences."""
+    r = random.Random(8)
+    for seed in range(10):
+        lengths = [r.randint(1, 20) for _ in range(10)]
+        counts = np.bincount(lengths, minlength=21)
+        counts[20] = 0
+        for program in (packing.fractional, packing.priced):
+            configs, amounts, bound = program(counts, seed)
+            assert bound - 1e-9 <= best([x for x in lengths if x < 20], 20) and (amounts > 0).all() and (configs.sum(axis=1) <= 20).all()
+
+
 def test_packing_of_an_empty_table(spark, docs):
     assert packing.pack_documents(docs([]), PATH).count() == 0 and tokenization.encode_documents(docs([]), PATH).count() == 0
 
