@@ -15,7 +15,7 @@ from . import filters
 
 def half_away(x: float) -> int:
     """Rounded half away from zero."""
-    return int(math.copysign(math.floor(abs(x) + 0.5), x))
+    return int(x + 0.5) if x >= 0 else -int(0.5 - x)
 
 
 # Raster styles.

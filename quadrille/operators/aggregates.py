@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.mvt import positions
+
 #: Fixed value: the most classes of a palette.
 MOST_CLASSES = 65_534
 
@@ -70,19 +74,29 @@ def content_ids(tiles: DataFrame, blob: str = "blob") -> DataFrame:
     return tiles.groupBy(F.sha2(F.col(blob).cast("binary"), 256).alias("content")).agg(F.min("tile_id").alias("first_tile"), F.count(F.lit(1)).alias("tiles"))
 
 
-def archive_runs(tiles: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+def archive_runs(tiles: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """Directory entries: runs of consecutive tile ids with one content, (tile_id, run_length, content).
 
-    Gaps and islands within each content, in chunks of ids that bound a group; runs that meet at a chunk's border
-    are joined in a second step over the few runs that touch one.
+    Gaps and islands within each content in chunks of ids, which bound a group whatever one content holds. Chunks that
+    are one run from end to end collapse by number of chunk, and only runs that touch a chunk's border are then joined
+    by content: at most two in `chunk` of the ids.
     """
     island = F.col("tile_id") - F.row_number().over(Window.partitionBy("content", "__k").orderBy("tile_id"))
     parts = tiles.withColumn("__k", F.floor(F.col("tile_id") / chunk)).withColumn("__i", island)
     parts = parts.groupBy("content", "__k", "__i").agg(F.min("tile_id").alias("lo"), F.max("tile_id").alias("hi"))
+    first, last = F.col("lo") == F.col("__k") * chunk, F.col("hi") == F.col("__k") * chunk + (chunk - 1)
+    inner = parts.filter(~first & ~last).select("lo", "hi", "content")
+    # At most two rows for each content and chunk, so 2 / chunk of the ids at most; whole chunks collapse by island first.
+    edge = parts.filter(first | last)
+    spread = F.floor(F.col("__k") / chunk)
+    whole = edge.filter(first & last).withColumn("__s", spread)
+    whole = whole.withColumn("__i", F.col("__k") - F.row_number().over(Window.partitionBy("content", "__s").orderBy("__k")))
+    whole = whole.groupBy("content", "__s", "__i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi", "content")
+    ends = whole.union(edge.filter(~(first & last)).select("lo", "hi", "content"))
     w = Window.partitionBy("content").orderBy("lo")
     starts = F.when(F.lag("hi").over(w) + 1 == F.col("lo"), 0).otherwise(1)
-    joined = parts.withColumn("__s", starts).withColumn("__g", F.sum("__s").over(w))
-    return joined.groupBy("content", "__g").agg(F.min("lo").alias("tile_id"), (F.max("hi") - F.min("lo") + 1).alias("run_length")).select("tile_id", "run_length", "content")
+    joined = ends.withColumn("__s", starts).withColumn("__g", F.sum("__s").over(w)).groupBy("content", "__g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi", "content")
+    return inner.union(joined).select(F.col("lo").alias("tile_id"), (F.col("hi") - F.col("lo") + 1).alias("run_length"), "content")
 
 
 def latest(records: DataFrame, key: str = "tile_id", order: str = "seq") -> DataFrame:
@@ -102,10 +116,38 @@ def archive_counts(entries: DataFrame) -> DataFrame:
     return entries.agg(F.sum("run_length").alias("addressed"), F.count(F.lit(1)).alias("entries"), F.count_distinct("content").alias("contents"))
 
 
-def sampled(df: DataFrame, by: list[str], order: list[str | Column], budget: int) -> DataFrame:
-    """An even sample of at most about `budget` rows of each group: position k stays if it is the first at or after a multiple of n / budget."""
-    w = Window.partitionBy(*by)
-    k, n = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
-    step = F.col("__n") / F.lit(float(budget))
-    keep = (F.col("__n") <= budget) | (F.ceil(F.col("__k") / step) * step < F.col("__k") + 1)
-    return df.withColumn("__k", k).withColumn("__n", n).filter(keep).drop("__k", "__n") if budget > 0 else df
+def ranked(df: DataFrame, by: list[str], order: str, width: int = 1 << 16) -> DataFrame:
+    """Add __k, a row's place in its group by a whole-number column (from 0), and __n, the size of the group.
+
+    Places come from counts of stretches of `width` numbers and the place within one, so a group may hold all rows and is
+    never in one task; a stretch holds as many rows as share its numbers.
+    """
+    stretch = F.floor(F.col(order) / F.lit(width))
+    named = [f"__g{i}" for i in range(len(by))]
+    counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, named, strict=True)], stretch.alias("__of")).agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*named)
+    before = F.sum("__c").over(whole.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__n", F.sum("__c").over(whole)).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__c")
+    within = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(order)) - 1
+    rows = df.withColumn("__b", stretch).withColumn("__k", within)
+    same = F.col("__b").eqNullSafe(F.col("__of"))
+    for c, n in zip(by, named, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    return rows.join(counts, same).withColumn("__k", F.col("__k") + F.col("__before")).drop(*named, "__of", "__before", "__b")
+
+
+def sampled(df: DataFrame, by: list[str], order: str, budget: int) -> DataFrame:
+    """An even sample of at most `budget` rows of each group by a whole-number column: the places that positions() gives for its size."""
+    if budget <= 0:
+        return df
+
+    @F.pandas_udf("boolean")
+    def chosen(k: pd.Series, n: pd.Series) -> pd.Series:
+        out = np.zeros(len(k), bool)
+        for size in n.unique():
+            own = (n == size).to_numpy()
+            out[own] = np.isin(k[own].to_numpy(), positions(int(size), budget))
+        return pd.Series(out)
+
+    rows = ranked(df, by, order)
+    return rows.filter((F.col("__n") <= budget) | chosen("__k", "__n")).drop("__k", "__n")

@@ -21,7 +21,12 @@ def window(df: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
 
 def size_gate(df: DataFrame, least: float) -> DataFrame:
     """Rows but polygons that are smaller than the least area; lines and points (area 0) always pass."""
-    return df.filter(~(F.lit(least > 0) & (F.col("area") > 0) & (F.col("area") < least)))
+    return df.filter(large_enough(least))
+
+
+def large_enough(least: float) -> Column:
+    """Whether a feature's stored area passes a size gate."""
+    return ~(F.lit(least > 0) & (F.col("area") > 0) & (F.col("area") < least))
 
 
 def tile_features(features: DataFrame, grid: Grid, z: int, least: float = 0.0) -> DataFrame:
@@ -62,6 +67,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, x: s
     b = _cells(polygons, cell, "minx", "miny", "maxx", "maxy")
     near = p.join(b, ["__cx", "__cy"]).drop("__cx", "__cy")
     px, py = F.col(x), F.col(y)
+    near = near.filter((px >= F.col("minx")) & (px <= F.col("maxx")) & (py >= F.col("miny")) & (py <= F.col("maxy")))  # before any ring is walked
     part = lambda rings: in_ring(px, py, F.get(rings, F.lit(0))) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda h: in_ring(px, py, h))
     return near.filter(F.col("geom.kind").isin("Polygon", "MultiPolygon") & F.exists("geom.parts", part))
 

@@ -458,10 +458,13 @@ def w09_latest_wins(spark, d):
     return aggregates.latest(views.table(spark, d, "orders").select(F.col("o_custkey").alias("tile_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("blob")))
 
 
-@query("SELECT class_key, count(*) AS n FROM (SELECT class_key, CAST(row_number() OVER (PARTITION BY class_key ORDER BY fid) - 1 AS DOUBLE) AS k, CAST(count(*) OVER (PARTITION BY class_key) AS DOUBLE) / 100 AS step FROM boxes) WHERE step <= 1 OR ceil(k / step) * step < k + 1 GROUP BY 1", views.BOXES)
+_STEPS = "ranked AS (SELECT class_key, fid, row_number() OVER (PARTITION BY class_key ORDER BY fid) - 1 AS k, count(*) OVER (PARTITION BY class_key) AS n FROM boxes), steps AS (SELECT DISTINCT class_key, n, CAST(0 AS DOUBLE) AS nxt FROM ranked UNION ALL SELECT class_key, n, nxt + CAST(n AS DOUBLE) / 100 FROM steps WHERE nxt + CAST(n AS DOUBLE) / 100 < n)"
+
+
+@query("SELECT r.class_key, r.fid FROM ranked r WHERE r.n <= 100 UNION ALL SELECT r.class_key, r.fid FROM ranked r JOIN steps s ON r.class_key = s.class_key AND r.k = ceil(s.nxt) WHERE r.n > 100", "RECURSIVE " + views.BOXES, _STEPS)
 def w03_uniform_sample(spark, d):
-    """An even sample of a hundred features a class (sampling is the feature)."""
-    return aggregates.sampled(views.boxes(spark, d), ["class_key"], ["fid"], 100).groupBy("class_key").agg(F.count(F.lit(1)).alias("n"))
+    """An even sample of a hundred features a class, by id (sampling is the feature)."""
+    return aggregates.sampled(views.boxes(spark, d), ["class_key"], "fid", 100).select("class_key", "fid")
 
 
 @query("SELECT fid, CAST(row_number() OVER (ORDER BY passthrough, class_key, fid) - 1 AS BIGINT) AS new_fid FROM (SELECT CAST(p_size AS BIGINT) AS fid, 0 AS passthrough, min(p_brand) AS class_key FROM part GROUP BY 1)")

@@ -298,7 +298,7 @@ class Service:
             hit = layer.archive.filter((F.col("tile_id") <= id) & (F.col("tile_id") + F.col("run_length") > id)).select("blob").first()
             if hit:
                 return bytes(hit[0])
-        made = tiles.encoded(layer.features, grid, z, layer.crs, layer.name, layer.options).filter((F.col("x") == x) & (F.col("y") == y)).select("blob").first()
+        made = tiles.encoded(layer.features, grid, z, layer.crs, layer.name, layer.options, only=(x, y)).select("blob").first()
         return bytes(made[0]) if made else b""
 
     def xyz(self, name: str, grid: str, z: int, x: int, y: int) -> bytes:

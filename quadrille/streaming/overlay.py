@@ -39,19 +39,78 @@ def clear(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], RECORD).write.mode("overwrite").parquet(path)
 
 
-def compact_stream(spark: SparkSession, overlay_path: str, base_path: str, checkpoint: str, trigger: dict | None = None):
-    """A query that folds new overlay records into versions of the base, base_path/v=<batch>.
-
-    A batch always writes the version of its own number from the version before, so replaying one after a failure
-    rewrites the same rows.
+def _numbers(spark: SparkSession, base_path: str) -> dict[str, list[int]]:
+    """The numbers of the complete tables under a base: v=<n> whole ones, d=<n> later records only."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(base_path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[str, list[int]] = {"v": [], "d": []}
+    for status in fs.listStatus(at) if fs.exists(at) else ():
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in out and number.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            out[kind].append(int(number))
+    return out
+
+
+def _records(spark: SparkSession, base_path: str, found: dict[str, list[int]]) -> DataFrame:
+    """The last record of every tile: the newest whole table and what came after it. Whole tables without seq are older than any record."""
+    newest = max(found["v"], default=-1)
+    out = spark.read.schema(RECORD).parquet(*[f"{base_path}/d={n}" for n in found["d"] if n > newest]) if any(n > newest for n in found["d"]) else spark.createDataFrame([], RECORD)
+    if newest >= 0:
+        whole = spark.read.parquet(f"{base_path}/v={newest}")
+        seq = F.col("seq") if "seq" in whole.columns else F.lit(-1)
+        out = out.union(whole.select("tile_id", seq.cast("long").alias("seq"), "blob"))
+    return latest(out)
+
+
+def base_tiles(spark: SparkSession, base_path: str) -> DataFrame:
+    """The tiles of a base that compact_stream keeps: tile_id, blob."""
+    return _records(spark, base_path, _numbers(spark, base_path)).select("tile_id", "blob")
+
+
+class Owner:
+    """A flag file under a base, made only if there is none: one compaction at a time. A crash leaves it; release() takes it away."""
+
+    def __init__(self, spark: SparkSession, base_path: str) -> None:
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(f"{base_path}/_compacting")
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def take(self) -> bool:
+        return self.fs.createNewFile(self.path)
+
+    def release(self) -> None:
+        self.fs.delete(self.path, False)
+
+
+def compact(spark: SparkSession, base_path: str) -> bool:
+    """Merge a base's tables into one whole table of the next number; False if another compaction owns the base."""
+    owner = Owner(spark, base_path)
+    if not owner.take():
+        return False
+    try:
+        found = _numbers(spark, base_path)
+        number = max(found["v"] + found["d"], default=-1)
+        _records(spark, base_path, found).write.mode("overwrite").parquet(f"{base_path}/v={number + 1}")
+    finally:
+        owner.release()
+    return True
+
+
+def compact_stream(spark: SparkSession, overlay_path: str, base_path: str, checkpoint: str, trigger: dict | None = None, merge_every: int = 8):
+    """A query that folds new overlay records into a base, read by base_tiles.
+
+    A batch writes only its own last records, as a table of the next number; the base as a whole is written anew after
+    every merge_every such tables. Records keep their seq, so a record that comes late never hides a newer one, and a batch
+    that is replayed after a failure, or under a new checkpoint, changes nothing: no table is taken away or assumed to be there.
+    A record without a blob hides nothing.
     """
 
-    def fold(batch: DataFrame, number: int) -> None:
-        prior = base_path + f"/v={number - 1}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(prior)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        base = spark.read.parquet(prior) if there else spark.createDataFrame([], "tile_id long, blob binary")
-        compacted(base, batch).write.mode("overwrite").parquet(base_path + f"/v={number}")
+    def fold(batch: DataFrame, _: int) -> None:
+        found = _numbers(spark, base_path)
+        number = max(found["v"] + found["d"], default=-1) + 1
+        latest(batch.filter(F.col("blob").isNotNull()).select("tile_id", "seq", "blob")).write.mode("overwrite").parquet(f"{base_path}/d={number}")
+        newest = max(found["v"], default=-1)
+        if sum(n > newest for n in found["d"]) + 1 >= merge_every:
+            compact(spark, base_path)
 
     stream = spark.readStream.schema(RECORD).parquet(overlay_path)
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -190,13 +190,27 @@ def test_tile_round_trip():
     assert areas[0] > 0 > areas[1]
 
 
+def test_positions_equal_the_running_sum():
+    import random
+
+    r = random.Random(3)
+    for _ in range(2000):
+        n, budget = r.randint(1, 3000), r.randint(1, 400)
+        kept, due = [], 0.0
+        for k in range(n):
+            if n <= budget or k >= due:
+                kept.append(k)
+                due += n / budget
+        assert mvt.positions(n, budget).tolist() == kept
+
+
 def test_tile_mosaic_and_dissolve():
     squares = [(i, ("Polygon", [[[(x, 0), (x + 512, 0), (x + 512, 512), (x, 512)]]]), [("k", c)]) for i, (x, c) in enumerate([(0, "a"), (512, "a"), (1024, "b")])]
     (_, d), = decoded(mvt.encode("t", squares, unit_project, 3, mvt.Options(dissolve_field="k"))).items()
     assert [f[2] for f in d] == [[("k", "a")], [("k", "b")]] and abs(g.ring_area2(d[0][3][0])) == 2 * 1024 * 512
     (_, m), = decoded(mvt.encode("t", squares, unit_project, 3, mvt.Options(cell_field="k", cell_pixels=8))).items()
     assert sum(abs(g.ring_area2(f[3][0])) / 2 for f in m) == 1536 * 512 and m[0][0] >= 1 << 63
-    assert mvt.Options(cell_pixels=6).cell in (64, 128) and mvt.positions(10, 3) == [0, 4, 7]
+    assert mvt.Options(cell_pixels=6).cell in (64, 128) and mvt.positions(10, 3).tolist() == [0, 4, 7]
 
 
 def test_archive_round_trip(tmp_path):

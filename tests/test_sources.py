@@ -292,7 +292,23 @@ def test_overlay(spark, tmp_path):
     overlay.put(spark.createDataFrame([(2, 9, b"z"), (3, 10, b"y")], overlay.RECORD), path)
     q = overlay.compact_stream(spark, path, base, str(tmp_path / "c"))
     q.awaitTermination()
-    assert {r.tile_id: bytes(r.blob) for r in spark.read.parquet(base + "/v=1").collect()} == {1: b"c", 2: b"z", 3: b"y"}
+    tiles = lambda: {r.tile_id: bytes(r.blob) for r in overlay.base_tiles(spark, base).collect()}
+    assert tiles() == {1: b"c", 2: b"z", 3: b"y"}
+    # A late older record, a null blob, a new checkpoint that sees all records again, and merges: nothing is lost.
+    overlay.put(spark.createDataFrame([(2, 5, b"old"), (3, 11, None), (4, 12, b"w")], overlay.RECORD), path)
+    want = {1: b"c", 2: b"z", 3: b"y", 4: b"w"}
+    for checkpoint, every in (("c", 8), ("new", 8), ("third", 1)):
+        overlay.compact_stream(spark, path, base, str(tmp_path / checkpoint), merge_every=every).awaitTermination()
+        assert tiles() == want
+    owner = overlay.Owner(spark, base)
+    assert owner.take() and not overlay.compact(spark, base)
+    owner.release()
+    assert overlay.compact(spark, base) and tiles() == want
+    # A base that was there before, without sequence numbers, stays under new records.
+    other = str(tmp_path / "other")
+    spark.createDataFrame([(1, b"kept"), (9, b"nine")], "tile_id long, blob binary").write.parquet(other + "/v=7")
+    overlay.compact_stream(spark, path, other, str(tmp_path / "o")).awaitTermination()
+    assert {r.tile_id: bytes(r.blob) for r in overlay.base_tiles(spark, other).collect()} == {**want, 9: b"nine"}
 
 
 def test_stream_of_invalidated_tiles(spark, tmp_path):
