@@ -10,10 +10,14 @@ bounded lists of all shards are merged by rank. Distances are Euclidean, in doub
 
 The measured recall of the default factor against brute force is in the README and in the tests.
 
+Every query meets every shard of its length: where distances are as alike as those of independent random vectors no
+bound rules a shard out, so work grows with queries times shards, in blocks of bounded size.
+
 Defined results: vectors that are null, zero, or hold a null or a component that isn't finite take no part, nor
-do rows without an id and vectors of another length than the most frequent one (ties: the longer); of rows that repeat an id each is a
-candidate, but none of a query's own id; a query id that repeats is searched with its least vector. Ties go to
-the smaller id. Fewer candidates than k give fewer rows; an empty table none.
+do rows without an id; vectors of each length are searched among themselves. A query id that repeats is searched once, with its
+least vector, and every row but that one is a candidate. Ties go to the smaller id. Components whose squares overflow
+are scaled; a distance beyond all numbers is infinite and ranks last. Fewer candidates than k give fewer rows; an empty
+table none.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,18 +42,36 @@ def taking_part(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(fine(x), F.lit(False))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def distances(differences: np.ndarray) -> np.ndarray:
+    """Euclidean lengths over the last axis; scaled where squares overflow or vanish."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        d = np.sqrt((differences**2).sum(axis=-1))
+        odd = ~np.isfinite(d) | (d < 1e-150)
+        if odd.any():
+            own = differences[odd]
+            most = np.abs(own).max(axis=-1, initial=0.0)
+            scale = np.where((most > 0) & np.isfinite(most), most, 1.0)
+            d[odd] = np.where(np.isfinite(most), scale * np.sqrt(((own / scale[..., None]) ** 2).sum(axis=-1)), np.inf)
+        return d
+
+
 class Tree:
     """A vantage-point tree over the rows of a matrix."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> None:
-        self.points, self.ids, self.leaf = points, ids, leaf
+        self.points, self.ids, self.leaf, self.first = points, ids, leaf, np.ones(len(ids), bool)
+        found, times = np.unique(ids, return_counts=True)
+        for i in found[times > 1].tolist():  # of rows that repeat an id the least one is that id's query
+            own = np.flatnonzero(ids == i)
+            self.first[own] = False
+            self.first[own[np.lexsort(points[own].T[::-1])[0]]] = True
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray) -> tuple:
         if len(rows) <= self.leaf:
             return (rows,)
         vantage, rows = rows[0], rows[1:]
-        d = np.sqrt(((self.points[rows] - self.points[vantage]) ** 2).sum(axis=1))
+        d = distances(self.points[rows] - self.points[vantage])
         median = float(np.median(d))
         inner, level = d < median, np.zeros(len(rows), bool)
         if 4 * inner.sum() < len(rows):  # many are at the median itself, such as copies of the vantage point
@@ -74,7 +97,8 @@ class Tree:
                 continue
             _, median, inner, outer, level = node
             inside = d[:, 0] < median
-            gap = np.abs(d[:, 0] - median) - ROUNDING * (d[:, 0] + median)
+            with np.errstate(invalid="ignore"):
+                gap = np.nan_to_num(np.abs(d[:, 0] - median) - ROUNDING * (d[:, 0] + median), nan=0.0, posinf=np.inf, neginf=0.0)
             stack.append((outer, q[inside], gap[inside], factor))
             stack.append((inner, q[~inside], gap[~inside], factor))
             stack.extend((half, q, gap, 1.0) for half in level)
@@ -84,12 +108,13 @@ class Tree:
 
     def _offer(self, best: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, q: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
         """Take the given rows into the lists of the queries q; the distances."""
-        d = np.sqrt(((queries[q][:, None, :] - self.points[rows][None, :, :]) ** 2).sum(axis=2))
-        shown = np.where(self.ids[rows][None, :] == own[q][:, None], np.inf, d)
+        d = distances(queries[q][:, None, :] - self.points[rows][None, :, :])
+        itself = (self.ids[rows][None, :] == own[q][:, None]) & self.first[rows][None, :]
+        shown = np.where(itself, np.inf, d)
         if len(rows) == 1 and not (shown[:, 0] <= best[q, k - 1]).any():
             return d
         all_d = np.concatenate([best[q], shown], axis=1)
-        all_i = np.concatenate([ids[q], np.broadcast_to(self.ids[rows], shown.shape)], axis=1)
+        all_i = np.concatenate([ids[q], np.where(itself, np.iinfo(np.int64).max, self.ids[rows][None, :])], axis=1)
         order = np.lexsort((all_i, all_d), axis=1)[:, :k]
         best[q] = np.take_along_axis(all_d, order, 1)
         ids[q] = np.take_along_axis(all_i, order, 1)
@@ -99,13 +124,17 @@ class Tree:
 def search(df: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k nearest candidates found of each query among all other rows of df."""
     rows = df.filter(taking_part(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    n, total = (lengths[0][0], lengths[0][1]) if lengths else (0, 0)
-    rows = rows.filter(F.size("v") == n)
-    shards = max(1, -(-total // SHARD_ROWS))
-    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    queries = rows.filter("q").groupBy("id").agg(F.min("v").alias("v"))
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    # One row for each length of vectors: how many shards it has, and the number of the first.
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy("n").collect()
+    table, shards = [], 0
+    for n, c in lengths:
+        table.append((n, shards, -(-c // SHARD_ROWS)))
+        shards += table[-1][2]
+    of = df.sparkSession.createDataFrame(table, "n int, first int, parts int")
+    rows = rows.withColumn("__n", F.size("v")).join(F.broadcast(of), F.col("__n") == F.col("n"))
+    candidates = rows.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    queries = rows.filter("q").groupBy("id").agg(F.min(F.struct("v", "first", "parts")).alias("r"))
+    queries = queries.select(F.explode(F.sequence(F.col("r.first"), F.col("r.first") + F.col("r.parts") - 1)).alias("shard"), F.lit(1).alias("kind"), "id", F.col("r.v").alias("v"))
     parts = max(1, min(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
     dealt = candidates.union(queries).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "id")
 
@@ -115,15 +144,16 @@ def search(df: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR,
         ids: list[np.ndarray] = []
         for batch in batches:
             s, kind, own = (batch.column(i).to_numpy() for i in range(3))
-            v = np.asarray(batch.column(3).flatten()).reshape(-1, n)
+            flat, ends = np.asarray(batch.column(3).flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(batch.column(3))))])
             bounds = np.flatnonzero(np.diff(s.astype(np.int64) * 2 + kind)) + 1
             for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(s)], strict=True):
                 if a == b:
                     continue
                 if s[a] != shard:
                     shard, tree, points, ids = s[a], None, [], []
+                v = flat[ends[a] : ends[b]].reshape(b - a, -1)
                 if kind[a] == 0:
-                    points.append(v[a:b])
+                    points.append(v)
                     ids.append(own[a:b])
                     continue
                 if tree is None and points:
@@ -132,8 +162,8 @@ def search(df: DataFrame, is_query: Column, k: int = K, factor: float = FACTOR,
                     continue
                 for at in range(a, b, QUERY_BATCH):
                     to = min(at + QUERY_BATCH, b)
-                    d, i = tree.search(v[at:to], own[at:to], k, factor)
-                    there = np.isfinite(d)
+                    d, i = tree.search(v[at - a : to - a], own[at:to], k, factor)
+                    there = i < np.iinfo(np.int64).max
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[at:to], there.sum(axis=1))), pa.array(i[there]), pa.array(d[there])], names=["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")

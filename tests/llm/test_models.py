@@ -378,8 +378,12 @@ def test_neighbour_edges(spark):
 
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (8, [1.0, -0.5]), (8, [1.0, -0.5]), (None, [1.0, 1.0]), (100, [3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5), (0, 2, 8, 0.5), (0, 3, 8, 0.5)]
+    got = neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.5), (0, 2, 8, 0.5), (0, 3, 8, 0.5), (100, 1, 7, 2.0)]
+    rows = [(0, [3.0]), (0, [1.0]), (0, [1.0]), (1, [1e200]), (2, [-1.7e308]), (3, [1.7e308]), (4, [1.0 + 1e-170]), (100, [-1.7e308])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 0] == [(0, 0.0), (4, 0.0), (0, 2.0), (1, 1e200), (2, 1.7e308), (3, 1.7e308), (100, 1.7e308)]
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 100][:2] == [(2, 0.0), (0, 1.7e308)] and got[-1].vec_id == 3 and got[-1].score == math.inf
     assert neighbours.search(df.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
