@@ -26,18 +26,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every end of the edges (columns u and v of one orderable type); root is the least node.
 
     Large-star and small-star steps in turn until the edges no longer change. Least neighbours come from
-    aggregations that combine before the shuffle; they are joined back to the edges, so a node with very many
-    edges is never collected. Every round is written to the shared folder; only two numbers a round reach the
+    aggregations that combine before the shuffle and are written: joined back to the edges they are broadcast while
+    Spark sees that they are small, and beyond that both sides of the join are plain shuffles, whose skewed partitions are
+    split, so a node with very many edges is in no single task. Every round is written to the shared folder; only two numbers a round reach the
     driver. An empty table has no components.
     """
     edges = stored(_oriented(edges), "edges")
     mark = _mark(edges)
     for _ in range(MOST_ROUNDS if mark[0] else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m")), "least")
         large = both.filter(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _oriented(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        large = stored(_oriented(large), "edges")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "least")
         joined = large.join(least, F.col("u") == F.col("w"))
         small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = stored(_oriented(small), "edges")

@@ -169,7 +169,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, class_id, n_links, n_copies, and t, the hash of its text."""
+    """One row for each row of df: doc_id, class_id, n_links, n_copies, t, the hash of its text, and class_t, the least hash of its class."""
     threshold = THRESHOLD_NUMERATOR / THRESHOLD_DENOMINATOR
     rows = stored(signatures(df, threshold, doc_id, text), "signatures")
     texts = rows.groupBy("t").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
@@ -182,8 +182,9 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     per = sized.groupBy(F.col("root").alias("r")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     members = sized.join(per, F.col("root") == F.col("r")).select("root", "nb", "least", F.col("t").alias("mt"), F.pmod(F.xxhash64("t"), F.col("nb")).cast("int").alias("block"))
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _key(text).alias("t"))
-    # A merge join at every size: the texts of members are found with one shuffle of the table, whatever fits a broadcast.
-    chosen = source.join(members.hint("merge"), (F.col("t") == F.col("mt")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "nb", "block", "t", "text")
+    # Written, so that Spark knows its size: texts are shuffled only where the members are too many to be broadcast.
+    members = stored(members, "dealt")
+    chosen = source.join(members, (F.col("t") == F.col("mt")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "nb", "block", "t", "text")
     sets = chosen.mapInArrow(_sets, "root binary, nb int, block int, t binary, shingles binary")
     tile = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     dealt = sets.select("root", "block", "t", "shingles", tile).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "t", "block", "shingles")
@@ -195,8 +196,8 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     named = texts.select("t", "least", "n_copies").join(classes, F.col("t") == F.col("node"), "left").join(count, F.col("t") == F.col("lt"), "left")
     grouped = sized.select(F.col("t").alias("gt"), "least").join(classes, F.col("gt") == F.col("node")).groupBy(F.col("root").alias("gr")).agg(F.min("least").alias("class_least"))
     named = named.join(grouped, F.col("root") == F.col("gr"), "left")
-    named = named.select(F.col("t").alias("nt"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return rows.select("doc_id", "t").join(named, F.col("t") == F.col("nt")).select("doc_id", "class_id", "n_links", "n_copies", "t")
+    named = named.select(F.col("t").alias("nt"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", F.coalesce("root", "t").alias("class_t"))
+    return rows.select("doc_id", "t").join(named, F.col("t") == F.col("nt")).select("doc_id", "class_id", "n_links", "n_copies", "t", "class_t")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +210,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kept(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay when each class keeps the document of its least id (one of equal rows)."""
-    found = join(df, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("t").alias("__of")).distinct()
+    """The rows of df that stay when each class keeps one document: that of its least id (ids before null), of equal ids the one
+    whose text's hash is least; of rows that are alike in both, one."""
     columns = df.columns
-    rows = df.withColumn("__t", _key(text)).join(found.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")))
-    return rows.dropDuplicates(["__id", "__t"]).select(*columns)
+    inner = df.toDF(*[f"__c{i}" for i in range(len(columns))])
+    of, content = (f"__c{columns.index(c)}" for c in (doc_id, text))
+    found = join(inner, of, content)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("t").alias("t"))).alias("r")
+    winners = found.groupBy("class_t").agg(least).select(F.col("r.id").alias("__id"), F.col("r.t").alias("__of"))
+    rows = inner.withColumn("__t", _key(content))
+    rows = rows.join(winners.hint("merge"), F.col(of).cast("long").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__of")))
+    rows = rows.dropDuplicates(["__id", "__t"]).select(*inner.columns)
+    return rows.toDF(*columns)

@@ -2,10 +2,11 @@
 
 Base spans follow four patterns (e-mail, IPv4 address, payment card, international phone number), leftmost and
 not overlapping within a kind; matches that fail their test are dropped without another try. The random field
-then reads the stretches around digits, @ signs and written-out dots: every run of at most MOST_TOKENS tokens
+then reads the stretches around digits, @ signs and written-out dots: every run of tokens, of whatever length,
 that could be an entity is a candidate segment, described by features of the whole span (its digits, check sum,
 grouping, parts and neighbours), and dynamic programming over segments and the label before chooses boundaries
-and kinds together. What it finds beside the base spans is added; base spans always stay. Its weights are
+and kinds together. Segments of digits end with the last kind's most digits; the others are as long as their run of characters, whose
+features come from running counts, so the work follows the length of a text whatever is in it. What it finds beside the base spans is added; base spans always stay. Its weights are
 trained on a few hundred lines that a seeded rule writes, by gradient ascent on the likelihood.
 
 Defined results: a null text is an empty text and has no spans; offsets count code points, the end is exclusive;
@@ -38,9 +39,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-MOST_TOKENS, REACH = 24, 48
+REACH = 48
 EPOCHS, STEP, DECAY, LINES = 60, 0.5, 1e-4, 320
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W_]+|\s+|.", re.S)
+_SPACE = re.compile(r"\s")
+_RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+_AT = re.compile(r" ?[\[({ ]at[\])} ]", re.I)
+_LOCAL_START = re.compile(r"[A-Za-z0-9]")
 _TRIGGER = re.compile(r"[0-9]|@|[\[({ ](?:at|dot)[\])} ]", re.I)
 _WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({ ](?:at)[\])} ] ?[A-Za-z0-9-]+(?: ?[\[({ ](?:dot)[\])} ] ?[A-Za-z0-9-]+)+", re.I)
 _CUES = {"email": "mail email contact write reach", "ip": "ip host server address addr ping", "card": "card visa credit debit payment pan", "phone": "phone tel call fax mobile telephone cell", "secret": "token key secret password passwd pwd apikey bearer auth"}
@@ -90,14 +95,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches that may hold entities: REACH code points around each trigger, merged."""
+    """Stretches that may hold entities: REACH code points around each trigger and the whole words that these reach into, merged."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         if out and m.start() - REACH <= out[-1][1]:
-            out[-1][1] = m.end() + REACH
+            out[-1][1] = max(out[-1][1], m.end() + REACH)
         else:
             out.append([max(0, m.start() - REACH), m.end() + REACH])
-    return [(a, min(b, len(text))) for a, b in out]
+    whole: list[tuple[int, int]] = []
+    for a, b in out:
+        last = whole[-1][1] if whole else 0
+        if b <= last:
+            continue
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        space = _SPACE.search(text, b)
+        b = space.start() if space else len(text)
+        if whole and a <= last:
+            whole[-1] = (whole[-1][0], b)
+        else:
+            whole.append((a, b))
+    return whole
 
 
 def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -120,10 +138,8 @@ def features(kind: str, text: str, start: int, end: int) -> list[str] | None:
     out = ["bias", f"cue={_context(text, start) == kind}", f"open={before.isalnum()}", f"shut={after.isalnum()}", f"dotted={before in ('.', '-', '/', '_')}{after in ('-', '/', '_')}"]
     digits = sum(map(str.isdigit, span))
     if kind == "secret":
-        if len(span) < 16 or not re.fullmatch(r"[A-Za-z0-9_+/=-]+", span):
-            return None
-        out += [f"hex={bool(re.fullmatch(r'[0-9a-f]+', span))}", f"mixed={0.1 < digits / len(span) < 0.9}", f"long={min(len(span) // 8, 6)}", f"set={bool(re.search(r'[=:]\s*[' + chr(34) + chr(39) + r']?$', text[max(0, start - 6) : start]))}", f"pure={digits == len(span)}"]
-    elif kind == "email":
+        return _secret(text, start, end, digits, all(c in "0123456789abcdef" for c in span)) if _RUN.fullmatch(span) else None
+    if kind == "email":
         if not _WRITTEN.fullmatch(span):
             return None
         out += [f"brackets={any(c in span for c in '[({')}", f"dots={min(len(re.findall('dot', span, re.I)), 3)}", f"tail={len(re.split(r'[^A-Za-z0-9-]+', span)[-1]) in (2, 3, 4)}"]
@@ -147,19 +163,32 @@ def features(kind: str, text: str, start: int, end: int) -> list[str] | None:
     return [f"{kind}:{x}" for x in out]
 
 
+def _secret(text: str, start: int, end: int, digits: int, low_hex: bool) -> list[str]:
+    """The features of a run of key characters, given how many are digits and whether all are of lower hexadecimal."""
+    size, before, after = end - start, text[start - 1 : start], text[end : end + 1]
+    set_ = bool(re.search(r"[=:]\s*[\"']?$", text[max(0, start - 6) : start]))
+    out = ["bias", f"cue={_context(text, start) == 'secret'}", f"open={before.isalnum()}", f"shut={after.isalnum()}", f"dotted={before in ('.', '-', '/', '_')}{after in ('-', '/', '_')}"]
+    out += [f"hex={low_hex}", f"mixed={0.1 < digits / size < 0.9}", f"long={min(size // 8, 6)}", f"set={set_}", f"pure={digits == size}"]
+    return [f"secret:{x}" for x in out]
+
+
 def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
     """Segments (first token, token after, kind, features) that could be entities."""
     out = []
+    if not toks:
+        return out
+    lo, hi = toks[0][0], toks[-1][1]
+    starts, ends = {a: i for i, (a, _) in enumerate(toks)}, {b: i for i, (_, b) in enumerate(toks)}
     for i, (a, b) in enumerate(toks):
         c = text[a]
-        if c.isspace():
+        if c not in "0123456789(+" or c in "(+" and not (text[a + 1 : a + 2].isdigit() or text[a + 1 : a + 2] == "(" and text[a + 2 : a + 3].isdigit()):
             continue
-        digits, dots = 0, 0
-        for j in range(i, min(i + MOST_TOKENS, len(toks)) if c in "0123456789(+" else i):
+        digits = dots = 0
+        for j in range(i, len(toks)):
             first, e = text[toks[j][0]], toks[j][1]
-            if not (first.isdigit() or first in " ().-+"):
+            if not (first in "0123456789" or first in " ().-+"):
                 break
-            if not first.isdigit():
+            if first not in "0123456789":
                 dots += first == "."
                 continue
             digits += e - toks[j][0]
@@ -169,16 +198,29 @@ def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, s
             for k in kinds:
                 if (f := features(k, text, a, e)) is not None:
                     out.append((i, j + 1, k, f))
-        if (i == 0 or not (text[a - 1].isalnum() or text[a - 1] == "_")) and c.isalnum():
-            m = re.compile(r"[A-Za-z0-9_+/=-]{16,}").match(text, a)
-            ends = [(m.end(), "secret")] if m else []
-            m = _WRITTEN.match(text, a)
-            ends += [(m.end(), "email")] if m else []
-            for e, k in ends:
-                j = next((j for j in range(i, min(i + 64, len(toks))) if toks[j][1] == e), None)
-                if j is not None and (f := features(k, text, a, e)) is not None:
-                    out.append((i, j + 1, k, f))
-    return out
+    for m in _RUN.finditer(text, lo, hi):
+        j = ends.get(m.end())
+        if j is None:
+            continue
+        digits, low_hex = sum(map(str.isdigit, m[0])), max((k for k, c in enumerate(m[0]) if c not in "0123456789abcdef"), default=-1)
+        at = m.start()
+        for i in range(starts.get(at, j + 1), j + 1):
+            a = toks[i][0]
+            if m.end() - a < 16:
+                break
+            digits -= sum(map(str.isdigit, text[at:a]))
+            at = a
+            if text[a].isalnum() and (a == lo or not (text[a - 1].isalnum() or text[a - 1] == "_")):
+                out.append((i, j + 1, "secret", _secret(text, a, m.end(), digits, low_hex < a - m.start())))
+    for m in _AT.finditer(text, lo, hi):
+        a = m.start()
+        while a > lo and text[a - 1] in LOCAL:
+            a -= 1
+        first = _LOCAL_START.search(text, a, m.start())
+        whole = _WRITTEN.match(text, first.start(), hi) if first else None
+        if whole and whole.start() in starts and whole.end() in ends and (f := features("email", text, *whole.span())) is not None:
+            out.append((starts[whole.start()], ends[whole.end()] + 1, "email", f))
+    return sorted(out, key=lambda x: x[:2])
 
 
 class SemiMarkov:
@@ -329,6 +371,7 @@ def trained(seed: int = 7, lines: int = LINES, epochs: int = EPOCHS) -> SemiMark
                 gradient[x] = gradient.get(x, 0.0) - p
             for x, c in counts.items():
                 gradient[x] = gradient.get(x, 0.0) + c
+        gradient.pop("after:O>O", None)  # stays 0: text outside entities weighs nothing, so a span's score doesn't depend on its length in tokens
         for x, g in gradient.items():
             g -= DECAY * len(batch) * field.w.get(x, 0.0)
             squares[x] = squares.get(x, 1e-8) + g * g
@@ -347,17 +390,17 @@ def find(text: str, field: SemiMarkov) -> list[tuple[str, int, int, bool]]:
         else:
             taken.append([start, end])
 
-    def free(start: int, end: int) -> bool:
+    def free(kind: str, start: int, end: int) -> bool:
+        """No base span overlaps; a key may hold whole ones, such as digits in it that pass for a card's."""
         i = bisect_left(taken, end, key=lambda t: t[0]) - 1
-        return i < 0 or taken[i][1] <= start
+        if i < 0 or taken[i][1] <= start:
+            return True
+        first = bisect_left(taken, start, key=lambda t: t[1] - 1)
+        return kind == "secret" and taken[i][1] <= end and taken[first][0] >= start
 
     for a, b in windows(text):
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum() and a > 1 and b - a < 4096:
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum() and b - a < 4096:
-            b += 1
         toks = tokens(text, a, b)
-        segs = [x for x in candidates(text, toks) if free(toks[x[0]][0], toks[x[1] - 1][1])]
+        segs = [x for x in candidates(text, toks) if free(x[2], toks[x[0]][0], toks[x[1] - 1][1])]
         if segs:
             for i, j, k in field.best(len(toks), segs):
                 out.append((k, toks[i][0], toks[j - 1][1], False))

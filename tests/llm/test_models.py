@@ -211,6 +211,46 @@ def test_random_field_on_unseen_lines():
     assert right / found > 0.85 and right / there > 0.95
 
 
+HAND_WRITTEN = [  # lines by hand, not by the generator: text, what must be found, what must not
+    ("Call the front desk at (217) 555-0148 before nine.", ["(217) 555-0148"], []),
+    ("Reach Ana: ana.lima [at] exemplo [dot] pt, thanks!", ["ana.lima [at] exemplo [dot] pt"], []),
+    ("the build finished at 2024-05-17 in 12.5 seconds, run 4821", [], ["2024", "4821"]),
+    ("api_key = 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08", ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"], []),
+    ("Server 10.12.0.7 answered; write to ops@example.org or phone +44 20 7946 0958.", ["10.12.0.7", "ops@example.org", "+44 20 7946 0958"], []),
+    ("chapters 1, 2 and 3 cover the years 1914 to 1918", [], ["1914", "1918", "1, 2"]),
+    ("my card 4111.1111.1111.1111 was declined", ["4111.1111.1111.1111"], []),
+]
+
+
+def test_random_field_on_lines_by_hand():
+    f = pii.trained()
+    for text, wanted, unwanted in HAND_WRITTEN:
+        found = [text[a:b] for _, a, b, _ in pii.find(text, f)]
+        assert set(wanted) <= set(found) and not any(u in x for u in unwanted for x in found), (text, found)
+
+
+@pytest.mark.parametrize("n", [32, 64, 128, 160, 256, 10_000])
+def test_long_secrets(n):
+    r, f = random.Random(n), pii.trained()
+    for _ in range(20 if n < 1000 else 2):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(n))
+        text = f"the secret = {key} was set"
+        assert pii.redacted(text, pii.find(text, f)) == "the secret = [SECRET] was set"
+
+
+def test_personal_data_in_hostile_texts_takes_linear_time():
+    import time
+
+    f = pii.trained()
+    for piece in ("1.", "((((1", "a-1", "=a1", "1 at ", "a at b dot ", "+1 (", "1", "a1@"):
+        spent = []
+        for n in (3_000, 9_000):
+            began = time.perf_counter()
+            pii.find(piece * n, f)
+            spent.append(time.perf_counter() - began)
+        assert spent[1] < max(1.0, 6 * spent[0]), (piece, spent)
+
+
 def brute_best(field, n, segs):
     best = (-math.inf, None)
 

@@ -282,6 +282,16 @@ def test_join_with_nulls_and_repeats(spark, docs):
     assert jaccard_join.join(docs([])).count() == 0
 
 
+def test_kept_rows_with_clashing_names_and_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base, "a", 1), (None, base + " x", "b", 2), (4, "other", "c", 3), (4, "quite another text of its own", "d", 4), (9, base + " y", "e", 5), (4, "other", "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __t string, __id int").withColumnRenamed("__id", "t")
+    out = jaccard_join.kept(df)
+    assert out.columns == df.columns and sorted((r["__t"], r.t) for r in out.collect()) == [("c", 3), ("d", 4), ("e", 5)]
+    none = spark.createDataFrame([(None, base, "a", 1), (None, base + " x", "b", 2)], df.schema)
+    assert jaccard_join.kept(none).count() == 1
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.bands_for(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= jaccard_join.RECALL and bands * rows <= jaccard_join.MOST_HASHES
