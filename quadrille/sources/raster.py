@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import jpeg
+
 #: Fixed values of the format: struct codes of the field types and numpy kinds of the sample formats.
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 SAMPLE = {1: "u", 2: "i", 3: "f"}
@@ -35,6 +37,7 @@ class Level:
     tables: bytes | None = None
     order: str = "<"
     factor: float = 1.0
+    photometric: int = 1
 
     @property
     def across(self) -> int:
@@ -98,7 +101,7 @@ def read_header(path: str) -> Tiff:
             one = lambda t, default=None: tags[t][0] if t in tags else default
             if one(254, 0) & 4 or 324 not in tags:
                 continue
-            out.levels.append(Level(one(256), one(257), one(322), one(323), one(277, 1), one(258, 1), one(339, 1), one(259, 1), one(317, 1), tags[324], tags[325], tags.get(347) if isinstance(tags.get(347), bytes) else bytes(tags.get(347, ())) or None, order))
+            out.levels.append(Level(one(256), one(257), one(322), one(323), one(277, 1), one(258, 1), one(339, 1), one(259, 1), one(317, 1), tags[324], tags[325], tags.get(347) if isinstance(tags.get(347), bytes) else bytes(tags.get(347, ())) or None, order, photometric=one(262, 1)))
             if 33550 in tags and 33922 in tags and len(out.levels) == 1:
                 px, py = tags[33550][:2]
                 i, j, _, x, y, _ = tags[33922][:6]
@@ -172,6 +175,9 @@ def samples(data: bytes | None, level: Level) -> np.ndarray:
         row = -(-level.tile_w * level.samples // 8)
         raw = np.frombuffer(unpacked(data, level.compression, row * level.tile_h), np.uint8).reshape(level.tile_h, row)
         return (np.unpackbits(raw, axis=1)[:, : level.tile_w * level.samples].reshape(shape) * 255).astype(np.uint8)
+    if level.compression == 7:
+        found = jpeg.decode(data, level.tables, level.photometric == 6)[: level.tile_h, : level.tile_w, : level.samples]
+        return np.pad(found, [(0, n - m) for n, m in zip(shape, found.shape, strict=True)])
     width = level.bits // 8
     raw = unpacked(data, level.compression, level.tile_h * level.tile_w * level.samples * width)
     if level.predictor == 3:

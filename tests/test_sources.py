@@ -353,3 +353,50 @@ def test_image_pyramid(spark, features, tmp_path):
     assert counts["addressed"] == 21 and a.kind == "png"  # blank tiles too
     whole = png.decode(a.get(0))
     assert whole[32, 27, 0] == 255 and whole[32, 27, 3] == 255 and whole[2, 2, 3] == 0 and whole[32, 32, 3] < 255
+
+
+def jvm_jpeg(spark, pixels, kind):
+    """Bytes of an image as the JVM writes it, and the samples that it reads back."""
+    jvm = spark._jvm
+    h, w = pixels.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(w, h, kind)
+    for y in range(h):
+        for x in range(w):
+            p = pixels[y, x]
+            image.setRGB(x, y, (255 << 24 | int(p[0]) << 16 | int(p[1]) << 8 | int(p[2])) - (1 << 32))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    again = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    raster = again.getRaster()
+    return data, np.array([raster.getSample(x, y, b) for y in range(h) for x in range(w) for b in range(raster.getNumBands())]).reshape(h, w, -1)
+
+
+def test_jpeg_images(spark):
+    from quadrille.functions import jpeg
+
+    y, x = np.mgrid[0:37, 0:51]
+    colour = np.stack([128 + 100 * np.sin(x / 9), 128 + 90 * np.cos(y / 11), 60 + 2 * x + y], axis=2).clip(0, 255).astype(int)
+    data, want = jvm_jpeg(spark, colour, 1)
+    got = jpeg.decode(data).astype(int)
+    want = want if np.abs(got - want).mean() < np.abs(got - want[..., ::-1]).mean() else want[..., ::-1]  # the order of its bands
+    assert got.shape == (37, 51, 3) and np.abs(got - want).mean() < 3 and np.abs(got - colour).mean() < 8
+    grey = np.repeat(colour[..., :1], 3, axis=2)
+    data, want = jvm_jpeg(spark, grey, 10)
+    got = jpeg.decode(data)[..., 0].astype(int)
+    assert got.shape == (37, 51) and np.abs(got - want[..., 0]).max() <= 1
+    # Tables on their own, as TIFF files share them.
+    head, tables, at = data[:2], b"", 2
+    rest = b""
+    while data[at + 1] != 0xDA:
+        n = 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        tables, rest = (tables + data[at : at + n], rest) if data[at + 1] in (0xDB, 0xC4) else (tables, rest + data[at : at + n])
+        at += n
+    assert (jpeg.decode(head + rest + data[at:], head + tables + b"\xff\xd9")[..., 0] == got).all()
+    from quadrille.sources import raster
+
+    level = raster.Level(51, 37, 64, 48, 1, 8, 1, 7, 1, (0,), (0,), head + tables + b"\xff\xd9")
+    tile = raster.samples(head + rest + data[at:], level)
+    assert tile.shape == (48, 64, 1) and (tile[:37, :51, 0] == got).all() and not tile[37:].any()
+    with pytest.raises(ValueError):
+        jpeg.decode(data.replace(b"\xff\xc0", b"\xff\xc2"))
