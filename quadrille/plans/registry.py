@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bandmath, filters, grids, mvt, style
 from ..operators import aggregates, joins, labels, raster, tiles, topology
+from ..sources import vector
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +67,7 @@ def _hilbert_sql(z: int, source: str) -> str:
 @query("SELECT fid, class_key, price FROM boxes ORDER BY fid LIMIT 500", views.BOXES)
 def s31_scan_cap_ordered(spark, d):
     """The scan cap: at most 500 features of a window, in key order."""
-    return views.boxes(spark, d).orderBy("fid").limit(500).select("fid", "class_key", "price")
+    return vector.capped(views.boxes(spark, d), 500, "fid")[0].select("fid", "class_key", "price")
 
 
 @query("SELECT col, row, CASE WHEN CAST(b2 AS FLOAT) + CAST(b1 AS FLOAT) = 0 THEN NULL ELSE round(CAST(CAST(CAST(CAST(b2 AS FLOAT) - CAST(b1 AS FLOAT) AS FLOAT) / CAST(CAST(b2 AS FLOAT) + CAST(b1 AS FLOAT) AS FLOAT) AS FLOAT) AS DOUBLE), 5) END AS value FROM pixels", views.PIXELS)

@@ -7,17 +7,20 @@ area and ord, the place in its source. An unreadable source is an error; a windo
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
 import struct
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import geometry as g
 from ..functions import wkb
+from .config import Dsn, parse_dsn
 
 SCHEMA = "fid long, wkb binary, props map<string,struct<n:double,s:string>>, minx double, miny double, maxx double, maxy double, area double, ord long"
 #: Most features of a windowed read; the cap is reported by readers that reach it.
@@ -283,6 +286,12 @@ class FlatGeobuf:
                             todo.append((level - 1, offset - self.levels[level - 1][0] if offset >= self.levels[level - 1][0] else offset))
         return sorted(found)
 
+    def leaf_offsets(self, first: int, after: int) -> list[int]:
+        """Offsets of the features of a range of leaves."""
+        with open(self.path, "rb") as f:
+            f.seek(self.index_at + 40 * (self.levels[0][0] + first))
+            return sorted(x[4] for x in struct.iter_unpack("<4dQ", f.read(40 * (after - first))))
+
     def geometry(self, t: _Table | None, kind: int) -> tuple | None:
         if t is None:
             return None
@@ -319,11 +328,12 @@ class FlatGeobuf:
                 props[name] = value(v)
         return row(ord, geom, props, ord)
 
-    def at(self, offset: int) -> tuple | None:
+    def at(self, *offsets: int) -> Iterator[tuple | None]:
+        """The features at ascending offsets."""
         with open(self.path, "rb") as f:
-            f.seek(self.data_at + offset)
-            n = f.read(4)
-            return self.feature(f.read(struct.unpack("<I", n)[0]), offset)
+            for offset in offsets:
+                f.seek(self.data_at + offset)
+                yield self.feature(f.read(struct.unpack("<I", f.read(4))[0]), offset)
 
     def all(self) -> Iterator[tuple]:
         with open(self.path, "rb") as f:
@@ -366,13 +376,16 @@ class _FlatGeobufReader(DataSourceReader):
         f = FlatGeobuf(self.path)
         if not f.levels:
             return [_Offsets(None)]
-        hits = f.hits(self.window or (float("-inf"), float("-inf"), float("inf"), float("inf")))
+        if self.window is None:  # ranges of leaves; their offsets are read by the tasks
+            return [_Range(i, min(i + 20_000, f.count)) for i in range(0, f.count, 20_000)]
+        hits = f.hits(self.window)
         return [_Offsets(hits[i : i + 20_000]) for i in range(0, len(hits), 20_000)] or [_Offsets([])]
 
-    def read(self, part: _Offsets) -> Iterator[tuple]:
+    def read(self, part: _Offsets | _Range) -> Iterator[tuple]:
         f = FlatGeobuf(self.path)
         w = self.window
-        for r in f.all() if part.offsets is None else (f.at(o) for o in part.offsets):
+        offsets = f.leaf_offsets(part.low, part.high) if isinstance(part, _Range) else part.offsets
+        for r in f.all() if offsets is None else f.at(*offsets):
             if r is not None and (not w or (r[5] >= w[0] and r[3] <= w[2] and r[6] >= w[1] and r[4] <= w[3])):
                 yield r
 
@@ -386,16 +399,85 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(s)
 
 
-def postgis(spark: SparkSession, url: str, table: str, key: str, geom: str, columns: list[str], window: tuple | None = None, least_area: float = 0.0, cap: int = CAP, **options: str) -> DataFrame:
-    """A PostGIS window over JDBC (driver on the class path): one statement with the box, the size gate and the cap. The password comes from options, never the URL."""
-    q = lambda n: '"' + n.replace('"', '""') + '"'
-    where = [f"{q(geom)} IS NOT NULL"]
+def most_features() -> int:
+    """The cap of a windowed read: QUADRILLE_MAX_FEATURES where it is a whole number above zero, else CAP."""
+    given = os.environ.get("QUADRILLE_MAX_FEATURES", "")
+    return int(given) if given.isdigit() and int(given) > 0 else CAP
+
+
+def capped(features: DataFrame, cap: int | None = None, order: str = "ord") -> tuple[DataFrame, Observation]:
+    """At most `cap` features in their order, and what an action on them saw: the number n, which equals the cap where it was reached."""
+    seen = Observation()
+    return features.orderBy(order).limit(cap or most_features()).observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def warn_if_capped(seen: Observation, cap: int | None = None) -> bool:
+    """After an action: whether the cap was reached, with a warning."""
+    full = seen.get["n"] >= (cap or most_features())
+    if full:
+        warnings.warn("the window holds as many features as a read may return; some may be missing", stacklevel=2)
+    return full
+
+
+#: The column types of PostGIS tables whose values are numbers and texts; others are null.
+NUMBERS = frozenset("smallint integer bigint real numeric".split()) | {"double precision"}
+TEXTS = frozenset("text name character uuid date".split()) | {"character varying"}
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def postgis_sql(table: str, geom: str, key: str, columns: dict[str, str], window: tuple | None = None, least_area: float = 0.0) -> str:
+    """The statement of a feature table: key, geometry, box and area, numbers and texts as such; box and size gate in it."""
+    g_ = _quoted(geom)
+    where = [f"{g_} IS NOT NULL"]
     if window:
-        where.append(f"{q(geom)} && ST_MakeEnvelope({', '.join(repr(float(v)) for v in window)}, ST_SRID({q(geom)}))")
+        where.append(f"{g_} && ST_MakeEnvelope({', '.join(repr(float(v)) for v in window)}, ST_SRID({g_}))")
     if least_area > 0:
-        where.append(f"NOT (ST_Dimension({q(geom)}) = 2 AND ST_Area({q(geom)}) < {float(least_area)!r})")
-    sql = f"SELECT {', '.join([q(key), f'ST_AsBinary({q(geom)}) AS wkb', *map(q, columns)])} FROM {table} WHERE {' AND '.join(where)} LIMIT {int(cap)}"
-    return spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+        where.append(f"NOT (ST_Dimension({g_}) = 2 AND ST_Area({g_}) < {float(least_area)!r})")
+    kept = [f"CAST({_quoted(c)} AS {'double precision' if kind in NUMBERS else 'text'}) AS {_quoted(c)}" for c, kind in columns.items() if kind in NUMBERS | TEXTS]
+    box = ", ".join(f"ST_{f}({g_}) AS __{n}" for f, n in (("XMin", "minx"), ("YMin", "miny"), ("XMax", "maxx"), ("YMax", "maxy"), ("Area", "area")))
+    return f"SELECT {', '.join([f'{_quoted(key)} AS __key', f'ST_AsBinary({g_}) AS __wkb', box, *kept])} FROM {'.'.join(map(_quoted, table.split('.')))} WHERE {' AND '.join(where)}"
+
+
+def _statement(spark: SparkSession, dsn: Dsn, sql: str, predicates: list[str] | None = None) -> DataFrame:
+    url, secret = dsn.jdbc()
+    if predicates is None:
+        return spark.read.format("jdbc").options(url=url, query=sql, **secret).load()
+    return spark.read.jdbc(url, f"({sql}) t", predicates=predicates, properties=secret)
+
+
+def postgis(spark: SparkSession, dsn: Dsn, window: tuple | None = None, least_area: float = 0.0, parts: int = 8, cap: int | None = None) -> DataFrame:
+    """Features of a PostGIS table over JDBC (driver on the class path), in ranges of its key; a windowed read is capped.
+
+    The table is checked first: it must have the geometry column with a system, and a whole-number primary key.
+    """
+    schema, _, name = dsn.table.rpartition(".")
+    schema = schema or "public"
+    found = _statement(spark, dsn, f"SELECT srid FROM geometry_columns WHERE f_table_schema = {_text(schema)} AND f_table_name = {_text(name)} AND f_geometry_column = {_text(dsn.geometry)}").collect()
+    if not found or not found[0][0]:
+        raise ValueError(f"{dsn!r} has no geometry column {dsn.geometry!r} with a system")
+    columns = {r[0]: r[1] for r in _statement(spark, dsn, f"SELECT column_name, data_type FROM information_schema.columns WHERE table_schema = {_text(schema)} AND table_name = {_text(name)} ORDER BY ordinal_position").collect()}
+    keys = [r[0] for r in _statement(spark, dsn, f"SELECT a.attname FROM pg_index i JOIN pg_attribute a ON a.attrelid = i.indrelid AND a.attnum = ANY(i.indkey) WHERE i.indisprimary AND i.indrelid = {_text(f'{_quoted(schema)}.{_quoted(name)}')}::regclass").collect()]
+    if len(keys) != 1 or columns.get(keys[0]) not in ("smallint", "integer", "bigint"):
+        raise ValueError(f"{dsn!r} needs a primary key of one whole-number column")
+    key = keys[0]
+    attributes = {c: kind for c, kind in columns.items() if c not in (key, dsn.geometry)}
+    table = f"{schema}.{name}"
+    low, high = _statement(spark, dsn, f"SELECT min({_quoted(key)}) AS low, max({_quoted(key)}) AS high FROM {'.'.join(map(_quoted, (schema, name)))}").first()
+    step = max(1, -(-(high - low + 1) // parts)) if low is not None else 1
+    ranges = [f"__key >= {a} AND __key < {a + step}" for a in range(low, high + 1, step)] if low is not None else ["1 = 0"]
+    rows = _statement(spark, dsn, postgis_sql(table, dsn.geometry, key, attributes, window, least_area), ranges)
+    one = lambda c, kind: F.struct((F.col(c).cast("double") if kind in NUMBERS else F.lit(None).cast("double")).alias("n"), (F.col(c) if kind in TEXTS else F.lit(None).cast("string")).alias("s"))
+    pairs = [x for c, kind in attributes.items() for x in (F.lit(c), one(c, kind))]
+    props = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,struct<n:double,s:string>>")
+    out = rows.select(F.col("__key").cast("long").alias("fid"), F.col("__wkb").alias("wkb"), props.alias("props"), *[F.col(f"__{c}").cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy", "area")], F.col("__key").cast("long").alias("ord"))
+    return capped(out, cap)[0] if window else out
 
 
 #: What a path's ending or scheme means.
@@ -414,7 +496,7 @@ def classify(uri: str) -> str:
 
 
 def load(spark: SparkSession, uri: str, **options: str) -> DataFrame:
-    """Features of a path by its kind."""
+    """Features of a path by its kind; a windowed read (minx, miny, maxx, maxy) is capped, by `cap` or as most_features() says."""
     kind = classify(uri)
     if kind == "geojson":
         return geojson(spark, uri)
@@ -422,8 +504,14 @@ def load(spark: SparkSession, uri: str, **options: str) -> DataFrame:
         return geojson_lines(spark, uri)
     if kind == "parquet":
         return spark.read.parquet(uri)
+    names = ("minx", "miny", "maxx", "maxy")
+    window = tuple(float(options[c]) for c in names) if all(c in options for c in names) else None
+    cap = int(options.pop("cap")) if "cap" in options else None
+    if kind == "postgis":
+        return postgis(spark, parse_dsn(uri), window, float(options.get("least_area", 0.0)), int(options.get("parts", 8)), cap)
     register(spark)
-    return spark.read.format(kind).options(path=uri, **options).load()
+    out = spark.read.format(kind).options(path=uri, **options).load()
+    return capped(out, cap)[0] if window and kind in ("geopackage", "flatgeobuf") else out
 
 
 def pruned(features: DataFrame, fields: list[str]) -> DataFrame:

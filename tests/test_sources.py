@@ -400,3 +400,42 @@ def test_jpeg_images(spark):
     assert tile.shape == (48, 64, 1) and (tile[:37, :51, 0] == got).all() and not tile[37:].any()
     with pytest.raises(ValueError):
         jpeg.decode(data.replace(b"\xff\xc0", b"\xff\xc2"))
+
+
+def test_postgis_statements_and_features(spark, monkeypatch):
+    """The statements that are sent, and features from their results; the server is stood in for."""
+    asked = []
+
+    def answer(_, dsn, sql, predicates=None):
+        asked.append((sql, predicates))
+        if "geometry_columns" in sql:
+            return spark.createDataFrame([(3763,)] if "'roads'" in sql else [], "srid int")
+        if "information_schema" in sql:
+            return spark.createDataFrame([("id", "integer"), ("geom", "USER-DEFINED"), ("na\"me", "character varying"), ("width", "numeric"), ("open", "boolean")], "a string, b string")
+        if "pg_index" in sql:
+            return spark.createDataFrame([("id",)], "a string")
+        if "min(" in sql:
+            return spark.createDataFrame([(1, 20)], "low int, high int")
+        return spark.createDataFrame([(7, b"w", 0.0, 1.0, 2.0, 3.0, 4.0, "A1", 7.5)], '__key int, __wkb binary, __minx double, __miny double, __maxx double, __maxy double, __area double, `na"me` string, width double')
+
+    monkeypatch.setattr(vector, "_statement", answer)
+    rows = vector.load(spark, "postgis://u@h/d?table=gis.roads", minx="0", miny="0", maxx="9", maxy="9", parts="2").collect()
+    assert [(r.fid, r.ord, r.minx, r.area, {k: (v.n, v.s) for k, v in r.props.items()}) for r in rows] == [(7, 7, 0.0, 4.0, {'na"me': (None, "A1"), "width": (7.5, None), "open": (None, None)})]
+    sql, ranges = asked[-1]
+    assert ranges == ["__key >= 1 AND __key < 11", "__key >= 11 AND __key < 21"] and '"gis"."roads"' in sql and "ST_MakeEnvelope(0.0, 0.0, 9.0, 9.0" in sql and '"na""me"' in sql and '"open"' not in sql
+    with pytest.raises(ValueError, match="no geometry column"):
+        vector.load(spark, "postgis://u@h/d?table=none")
+
+
+def test_windows_are_capped(spark, monkeypatch):
+    rows = spark.range(50).selectExpr("id AS fid", "50 - id AS ord")
+    few, seen = vector.capped(rows, 10)
+    assert sorted(r.ord for r in few.collect()) == list(range(1, 11))
+    with pytest.warns(UserWarning):
+        assert vector.warn_if_capped(seen, 10)
+    monkeypatch.setenv("QUADRILLE_MAX_FEATURES", "60")
+    all_, seen = vector.capped(rows)
+    assert len(all_.collect()) == 50 and not vector.warn_if_capped(seen)
+    for bad in ("0", "-3", "x"):
+        monkeypatch.setenv("QUADRILLE_MAX_FEATURES", bad)
+        assert vector.most_features() == vector.CAP
