@@ -99,6 +99,10 @@ def test_projections_round_trip(code):
 def test_projection_known_values():
     x, y = crs.forward("EPSG:3035", np.array([5.0]), np.array([50.0]))  # the guidance note's example
     assert abs(x[0] - 3962799.45) < 0.05 and abs(y[0] - 2999718.85) < 0.05
+    x, y = crs.forward("EPSG:2056", np.array([7 + 27 / 60 + 54.98506 / 3600]), np.array([46 + 52 / 60 + 37.54197 / 3600]))  # a published survey mark
+    assert abs(x[0] - 2602030.68) < 1 and abs(y[0] - 1191775.03) < 1
+    lon, lat = crs.inverse("EPSG:2056", x, y)
+    assert abs(lon[0] - 7.465273627) < 1e-8 and abs(lat[0] - 46.877094992) < 1e-8
     x, y = crs.forward("EPSG:32631", np.array([3.0]), np.array([0.0]))
     assert abs(x[0] - 500000) < 1e-6 and abs(y[0]) < 1e-6
     with pytest.raises(ValueError):
