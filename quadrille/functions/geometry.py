@@ -172,24 +172,23 @@ def simplify(line: list, least: float) -> list:
     """Drop inner points of least weight until all that are left weigh `least`; ends stay, ties go by coordinates."""
     if len(line) <= 2 or not least > 0:
         return list(line)
-    before, after = list(range(-1, len(line) - 1)), list(range(1, len(line) + 1))
-    stamp, gone = [0] * len(line), [False] * len(line)
-    heap = [(corner_weight(*line[i - 1 : i + 2]), line[i], i, 0) for i in range(1, len(line) - 1)]
-    heapq.heapify(heap)
-    while heap:
-        w, _, i, s = heapq.heappop(heap)
-        if gone[i] or s != stamp[i]:
+    left, right = {i: i - 1 for i in range(1, len(line) - 1)}, {i: i + 1 for i in range(1, len(line) - 1)}
+    weigh = lambda i: corner_weight(line[left[i]], line[i], line[right[i]])
+    weights = {i: weigh(i) for i in left}  # of the inner points that are left
+    queue = [(w, line[i], i) for i, w in weights.items()]
+    heapq.heapify(queue)
+    while queue and queue[0][0] < least:
+        w, _, i = heapq.heappop(queue)
+        if weights.get(i) != w:  # dropped, or weighed anew since
             continue
-        if w >= least:
-            break
-        gone[i] = True
-        l, r = before[i], after[i]
-        after[l], before[r] = r, l
-        for j in (l, r):
-            if 0 < j < len(line) - 1:
-                stamp[j] += 1
-                heapq.heappush(heap, (corner_weight(line[before[j]], line[j], line[after[j]]), line[j], j, stamp[j]))
-    return [p for p, g in zip(line, gone) if not g]
+        del weights[i]
+        a, b = left[i], right[i]
+        for j, side, neighbour in ((a, right, b), (b, left, a)):
+            if j in weights:
+                side[j] = neighbour
+                weights[j] = weigh(j)
+                heapq.heappush(queue, (weights[j], line[j], j))
+    return [line[0], *(line[i] for i in sorted(weights)), line[-1]]
 
 
 def simplify_guarded(line: list, least: float) -> list:

@@ -407,3 +407,75 @@ def t03_cut_rings(spark, d):
     """Pieces that each ring is cut into at the junctions."""
     refs = topology.ring_refs(topology.snapped_rings(views.cell_features(spark, d), 1.0))
     return refs.groupBy("fid").agg(F.count(F.lit(1)).alias("pieces"))
+
+
+@query("SELECT fid, CAST(CASE WHEN abs(ux * (uy + vy) - uy * (ux + vx)) / 2 * (1 - 0.7 * (ux * vx + uy * vy) / (sqrt(ux * ux + uy * uy) * sqrt(vx * vx + vy * vy))) < 30 THEN 2 ELSE 3 END AS BIGINT) AS points FROM (SELECT fid, maxx - minx AS ux, CAST(fid % 5 AS DOUBLE) AS uy, CAST(10 AS DOUBLE) AS vx, maxy - miny + 20 - fid % 5 AS vy FROM boxes)", views.BOXES)
+def t07_simplified_lines(spark, d):
+    """Lines of three points, whose middle one goes if its weighted triangle is small."""
+    return by_rows(views.boxes(spark, d).select("fid", "minx", "miny", "maxx", "maxy"), "fid long, points long", lambda r: [{"fid": r["fid"], "points": len(geometry.simplify([(r["minx"], r["miny"]), (r["maxx"], r["miny"] + r["fid"] % 5), (r["maxx"] + 10, r["maxy"] + 20)], 30.0))}])
+
+
+@query("SELECT fid, CAST(area AS BIGINT) AS area FROM boxes WHERE area >= 50", views.BOXES)
+def t09_culled_parts(spark, d):
+    """Rings of the parts that are large enough for a level."""
+    rings = topology.culled(topology.snapped_rings(views.box_features(spark, d), 1.0), 50.0)
+    return rings.select("fid", (F.abs(topology.ring_area2("pts")) / 2).cast("long").alias("area"))
+
+
+@query("SELECT fid, CAST(4 AS BIGINT) AS points, area + 5 * (maxy - miny) AS area FROM boxes", views.BOXES)
+def m06_walked_rings(spark, d):
+    """Two neighbours of one class become one ring without the shared edge or points on straight runs."""
+
+    def kernel(r):
+        x0, y0, x1, y1 = (int(r[c]) for c in ("minx", "miny", "maxx", "maxy"))
+        (polygon,) = geometry.dissolved([[[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]], [[(x1, y0), (x1 + 5, y0), (x1 + 5, y1), (x1, y1)]]])
+        return [{"fid": r["fid"], "points": len(polygon[0]), "area": geometry.area(("Polygon", [polygon]))}]
+
+    return by_rows(views.boxes(spark, d).select("fid", "minx", "miny", "maxx", "maxy"), "fid long, points long, area double", kernel)
+
+
+def _level(bits: int, order: str = "<", **more) -> raster_files.Level:
+    return raster_files.Level(**({"width": 4, "height": 4, "tile_w": 4, "tile_h": 4, "samples": 1, "bits": bits, "sample_format": 1, "compression": 1, "predictor": 1, "offsets": (0,), "counts": (0,), "order": order} | more))
+
+
+@query("SELECT p_partkey AS id, CAST(list_sum([p_partkey * (i + 3) % 60000 FOR i IN range(16)]) AS BIGINT) AS wide, CAST(list_sum([p_partkey * (i + 3) % 256 FOR i IN range(16)]) AS BIGINT) AS narrow FROM part")
+def c10_predicted_samples(spark, d):
+    """Tiles of big-endian 16-bit samples, and of bytes as differences along the rows."""
+    import numpy as np
+
+    def kernel(r):
+        wide = np.array([r["id"] * (i + 3) % 60000 for i in range(16)], ">u2")
+        narrow = np.array([r["id"] * (i + 3) % 256 for i in range(16)], np.int64).reshape(4, 4)
+        apart = np.diff(narrow, axis=1, prepend=0).astype(np.uint8)
+        found = raster_files.samples(wide.tobytes(), _level(16, ">")), raster_files.samples(zlib.compress(apart.tobytes()), _level(8, predictor=2, compression=8))
+        return [{"id": r["id"], "wide": int(found[0].astype(np.int64).sum()), "narrow": int(found[1].astype(np.int64).sum())}]
+
+    return by_rows(views.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id")), "id long, wide long, narrow long", kernel)
+
+
+@query("SELECT p_partkey AS id, md5(p_type) AS text FROM part")
+def c06_lzw(spark, d):
+    """Streams of nine-bit codes, cleared before the table can widen them."""
+    import hashlib
+
+    def kernel(r):
+        codes = [x for i in range(0, len(r["t"]), 200) for x in (256, *r["t"][i : i + 200].encode())] + [257]
+        bits = "".join(f"{c:09b}" for c in codes)
+        bits += "0" * (-len(bits) % 8)
+        return [{"id": r["id"], "text": hashlib.md5(raster_files.lzw(int(bits, 2).to_bytes(len(bits) // 8, "big"))).hexdigest()}]
+
+    return by_rows(views.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_type").alias("t")), "id long, text string", kernel)
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(w * b1) / sum(w), 6) AS b1 FROM (SELECT t.i, t.j, greatest(0, 1 - abs(t.col + 0.5 - t.u) / 2.56) * greatest(0, 1 - abs(t.row + 0.5 - t.v) / 2.56) AS w, p.b1 FROM (SELECT *, unnest(range(CAST(floor(v) AS BIGINT) - 4, CAST(floor(v) AS BIGINT) + 5)) AS row FROM (SELECT *, unnest(range(CAST(floor(u) AS BIGINT) - 4, CAST(floor(u) AS BIGINT) + 5)) AS col FROM (SELECT i, j, (i + 0.5) * 2.56 AS u, (j + 0.5) * 2.56 AS v FROM (SELECT unnest(range(100)) AS i), (SELECT unnest(range(100)) AS j)))) t JOIN pixels p ON p.col = t.col AND p.row = t.row) WHERE w > 1e-12 GROUP BY i, j", views.PIXELS)
+def a12_tent_downsample(spark, d):
+    """A raster at a fraction of its size: means weighted by a tent as wide as the pixels that fall into one."""
+    targets = raster.source_pixels(raster.request_pixels(spark, (0.0, 0.0, 256.0, 256.0), 100, 100), (0.0, 256.0), (1.0, 1.0))
+    return raster.warp_bilinear(targets, views.pixels(spark, d), "b1", scale=2.56).select("i", "j", F.round("b1", 6).alias("b1"))
+
+
+@query("SELECT * FROM (VALUES ('EPSG:4326', true, true), ('EPSG:4258', true, true), ('EPSG:3035', true, true), ('EPSG:3857', false, true), ('EPSG:3763', false, true), ('EPSG:2056', false, true), ('EPSG:32629', false, true), ('CRS:84', false, true), ('EPSG:99999', false, false)) t(code, northing_first, supported)")
+def g12_axis_order(spark, d):
+    """Systems that are known, and those whose published order begins with the northing."""
+    codes = spark.createDataFrame([(c,) for c in ("EPSG:4326", "EPSG:4258", "EPSG:3035", "EPSG:3857", "EPSG:3763", "EPSG:2056", "EPSG:32629", "CRS:84", "EPSG:99999")], "code string")
+    return by_rows(codes, "code string, northing_first boolean, supported boolean", lambda r: [{"code": r["code"], "northing_first": crs.northing_first(r["code"]), "supported": crs.supported(r["code"])}])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import bandmath, filters, grids, mvt, style
 from ..operators import aggregates, joins, labels, raster, tiles, topology
 from ..sources import vector
+from ..streaming import overlay
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,7 +481,7 @@ def w10_renumber(spark, d):
 @query("SELECT tile_id, blob FROM (SELECT b.tile_id, b.blob FROM base b ANTI JOIN over o ON b.tile_id = o.tile_id UNION ALL SELECT tile_id, blob FROM over)", *_TILES)
 def u01_compact(spark, d):
     """Base and overlay compacted into one archive."""
-    return joins.overlay_over_base(_base(spark, d), _overlay(spark, d)).select("tile_id", "blob")
+    return overlay.compacted(_base(spark, d), _overlay(spark, d).withColumn("seq", F.lit(0).cast("long")))
 
 
 # Raster.
