@@ -608,14 +608,17 @@ def t10_levels_of_detail(spark, d):
     return lod.groupBy("z").agg(F.count(F.lit(1)).alias("rings"), F.sum(F.floor(F.abs(topology.ring_area2("pts")) / 2).cast("long")).alias("area"))
 
 
-@query()
+_NEAR = "near AS (SELECT t.x, t.y, c.* FROM cells c, (SELECT unnest(range(4)) AS x) a, (SELECT unnest(range(4)) AS y) b, LATERAL (SELECT a.x, b.y) t WHERE c.col * 10 + 10 > t.x * 256 - 16 AND c.col * 10 < t.x * 256 + 272 AND c.row * 10 + 10 > 1024 - (t.y + 1) * 256 - 16 AND c.row * 10 < 1024 - t.y * 256 + 16)"
+
+
+@query("SELECT CAST(2 AS INTEGER) AS z, x, y, count(DISTINCT class_key) AS features FROM near GROUP BY x, y", views.CELLS, _NEAR)
 def a05_tile_dissolve(spark, d):
     """Merged classes in the tiles of a level; seams and areas are tested on small fixtures."""
     options = mvt.Options(dissolve_field="class", dissolve_zoom=3)
-    return _counted(tiles.encoded(views.cell_features(spark, d).drop("class_key"), LOCAL, 2, LOCAL_CRS, "cells", options))
+    return _counted(tiles.encoded(views.cell_features(spark, d).drop("class_key"), LOCAL, 2, LOCAL_CRS, "cells", options)).drop("tile_id")
 
 
-@query()
+@query("SELECT x, y, class_key, count(*) AS cells FROM (SELECT unnest(range(4)) AS x), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(-2, 34)) AS k), (SELECT unnest(range(-2, 34)) AS r), cells WHERE col = floor((x * 256 + 8 * k + 4) / 10.0) AND row = ceil((1020 - y * 256 - 8 * r) / 10.0) - 1 GROUP BY 1, 2, 3", views.CELLS)
 def m05_tile_mosaic(spark, d):
     """Cells of the dominant-class mosaic by tile and class."""
     cells = tiles.class_cells(views.cell_features(spark, d).drop("class_key"), LOCAL, 2, LOCAL_CRS, "class", 128)
