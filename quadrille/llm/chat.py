@@ -142,15 +142,16 @@ def format_turns(df: DataFrame) -> DataFrame:
         seen: dict[int, list] = {}
         for b, conv, (roles,) in _stretches(batches):
             m = product([role_code(r) for r in roles]).ravel().tolist()
-            first = seen.setdefault(b, [conv, m, conv, m, 1])
+            first = seen.setdefault(b, [conv, m, conv, m, 1, 0])
             first[2:4] = [conv, m]
             first[4] = 1 if first[1] is m else 2
-        for b, (c1, m1, c2, m2, n) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([c1], pa.int64()), pa.array([m1], pa.list_(pa.int64())), pa.array([c2], pa.int64()), pa.array([m2], pa.list_(pa.int64())), pa.array([n], pa.int32())], names=["b", "c1", "m1", "c2", "m2", "n"])
+            first[5] = len(roles)
+        for b, (c1, m1, c2, m2, n, turns) in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([c1], pa.int64()), pa.array([m1], pa.list_(pa.int64())), pa.array([c2], pa.int64()), pa.array([m2], pa.list_(pa.int64())), pa.array([n], pa.int32()), pa.array([turns], pa.int64())], names=["b", "c1", "m1", "c2", "m2", "n", "turns"])
 
     slim = dealt.select("b", "conv_id", "turn", "tie", "role").repartition("b").sortWithinPartitions("b", "conv_id", "turn", "tie").select("b", "conv_id", "role")
-    found = sorted(slim.mapInArrow(ends, "b int, c1 long, m1 array<long>, c2 long, m2 array<long>, n int").collect(), key=lambda r: r["b"])
-    entry, leave = _boundaries([(r["b"], r["c1"], np.array(r["m1"]).reshape(4, 4), r["c2"], np.array(r["m2"]).reshape(4, 4), r["n"]) for r in found])
+    found = sorted(slim.mapInArrow(ends, "b int, c1 long, m1 array<long>, c2 long, m2 array<long>, n int, turns long").collect(), key=lambda r: r["b"])
+    entry, leave = _boundaries([(r["b"], r["c1"], np.array(r["m1"]).reshape(4, 4), r["c2"], np.array(r["m2"]).reshape(4, 4), r["n"], r["turns"]) for r in found])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_bucket, at_start = None, True
@@ -166,20 +167,19 @@ def format_turns(df: DataFrame) -> DataFrame:
             base = before[1] if before else 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([conv] * len(codes), pa.int64()), pa.array(turns, pa.int64()), pa.array([b] * len(codes), pa.int64()), pa.array([base + i for i in range(len(codes))], pa.int64()),
+                    pa.array([conv] * len(codes), pa.int64()), pa.array(turns, pa.int64()), pa.array([base + i for i in range(len(codes))], pa.int64()),
                     pa.array([NAMES[p[0]] for p in path]), pa.array([p[1] for p in path]), pa.array([NAMES[p[2]] or None for p in path], pa.string()), pa.array(pieces),
                 ],
-                names=["conv_id", "turn", "b", "position", "role", "action", "inserted", "rendered"],
+                names=["conv_id", "turn", "position", "role", "action", "inserted", "rendered"],
             )
 
     full = dealt.repartition("b").sortWithinPartitions("b", "conv_id", "turn", "tie").select("b", "conv_id", "turn", "role", "text")
-    out = full.mapInArrow(work, "conv_id long, turn long, b long, position long, role string, action string, inserted string, rendered string")
-    # Positions count within a range; ranges follow one another.
-    return out.select("conv_id", "turn", (F.col("b") * F.lit(1 << 40) + F.col("position")).alias("position"), "role", "action", "inserted", "rendered")
+    return full.mapInArrow(work, "conv_id long, turn long, position long, role string, action string, inserted string, rendered string")
 
 
 def _boundaries(of: list[tuple]) -> tuple[dict, dict]:
-    """Entry state of the first conversation of a range where it goes on from the range before, and exit state of the last where it goes on.
+    """Entry state of the first conversation of a range where it goes on from the range before, with its turns until there, and exit
+    state of the last where it goes on.
 
     Cheapest paths through a chain of ranges that share a conversation: costs to come from the back, then states from the front.
     """
@@ -195,11 +195,12 @@ def _boundaries(of: list[tuple]) -> tuple[dict, dict]:
             for k in range(j, i, -1):
                 to_come.append(np.minimum((of[k][2] + to_come[-1][None, :]).min(axis=1), NEVER))
             to_come.reverse()  # after the last stretch of range i, i + 1, ...
-            state = START
+            state, turns = START, 0
             for k in range(i, j):
+                turns += of[k][6]
                 m = of[k][4] if k == i else of[k][2]
                 state = int((m[state] + to_come[k - i]).argmin())
                 leave[of[k][0]] = (of[k][3], state)
-                entry[of[k + 1][0]] = (state, 0)
+                entry[of[k + 1][0]] = (state, turns)
         i = max(j, i + 1)
     return entry, leave

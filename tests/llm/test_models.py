@@ -484,6 +484,7 @@ def test_chats(spark, one):
     assert len(out) == len(rows)
     for c, g in out.groupby("conv_id"):
         codes = [chat.role_code(x[2]) for x in rows if x[0] == c]
+        assert g.position.tolist() == list(range(len(g)))
         cost = sum((0 if q == chat.ROLES[x.role] else chat.NAME if q == chat.UNKNOWN else chat.RELABEL) + (chat.MERGE if x.action == "merge" else 0) + (chat.INSERT if x.inserted else 0) for q, x in zip(codes, g.itertuples()))
         text = "".join(g.rendered)
         tags = re.findall(r"<\|(system|user|assistant)\|>", text)
