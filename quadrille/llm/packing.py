@@ -108,7 +108,7 @@ def _fillings(taken: np.ndarray, first: np.ndarray) -> np.ndarray:
     while (t := taken[room]).any():
         columns.append(t)
         room = room - t
-    configs = -np.sort(-np.array(columns).T, axis=1)
+    configs = -np.sort(-np.array(columns, np.int16 if len(taken) < 1 << 15 else np.int64).T, axis=1)
     return configs[np.unique(_hashed(configs), return_index=True)[1]]
 
 
