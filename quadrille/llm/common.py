@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,19 +52,18 @@ def kept_by_worker(kind: str, make=lambda: None):
     if kind not in _KEPT:
         if _KEPT:
             _KEPT.clear()
-            _give_back()
+            gc.collect()
+            release()
         _KEPT[kind] = make()
     return _KEPT[kind]
 
 
-def _give_back() -> None:
+def release() -> None:
     """Return free memory to the system, as far as the allocators let one ask for it."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

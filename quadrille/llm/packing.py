@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix64, stored
+from .common import mix64, release, stored
 from .tokenization import ENCODER_BLOCK, blocks, encoder_of
 
 CAPACITY, END = 4096, 1
@@ -69,6 +69,7 @@ def cut_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end: int =
                     [rows.column(1).take(pa.array(which, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+            release()  # or a worker holds the most that any batch took
 
     rows = df.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -16,11 +16,12 @@ space) and texts with the beginning of a special token are encoded whole.
 
 from __future__ import annotations
 
+import functools
 import gc
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker
+from .common import kept_by_worker, release
 
 MEAN_CHUNK, MAX_CHUNK, WINDOW = 512, 8192, 16
 #: Records of chunks (in each of two generations), words and parts of words that a worker keeps.
 KEEP_CHUNKS, KEEP_WORDS, KEEP_PARTS = 4_000, 450_000, 500_000
 #: Code points that are worked on at once; the encoder takes more, as words are then looked up in fewer rounds.
-BLOCK, ENCODER_BLOCK = 1 << 20, 1 << 22
+BLOCK, ENCODER_BLOCK = 1 << 20, 1 << 21
+#: New words that wait at most (but for those of one chunk), and strings that the library encodes at once: its results are large.
+WAIT, AT_ONCE = 1 << 15, 1 << 12
 _BASE, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: A word of folded letters and, behind them, symbols, all under U+0100 (no apostrophe: it may begin a contraction).
@@ -121,6 +124,13 @@ class _Frequent(dict):
         return self.words[word]
 
 
+def _encoded(tokenizer, strings: list[str]) -> Iterator[bytes]:
+    """The ids of each string, a few strings at once."""
+    for at in range(0, len(strings), AT_ONCE):
+        for e in tokenizer.encode_batch_fast(strings[at : at + AT_ONCE], add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer file, reusing chunks and words; a mean of 0 takes whole texts for chunks and keeps none."""
 
@@ -141,16 +151,20 @@ class ChunkEncoder:
         self.by_words = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and r"[^\\s\\p{L}\\p{N}]+" in pattern
         #: Letters are folded to lower case at the end of normalizing.
         self.folds = self.by_words and str(described.get("normalizer")).endswith("{'type': 'Lowercase'}]}")
-        #: For words of folded Latin letters, which normalizing and splitting leave as they are: the merges alone.
-        self.merges = Tokenizer.from_file(path)
-        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: For words of folded Latin letters, which normalizing and splitting leave as they are: the merges alone (one model for both).
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain_decoder = described.get("decoder") is None
-        self.name_of = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}.__getitem__
         self.chunks = _Kept(KEEP_CHUNKS)
         self.parts: dict[str, bytes] = {"": b""}
         self._forget(_Words(self.folds), np.empty(0, np.uint32), np.empty(0, np.int64))
         self.encoded_chunks = self.reused_chunks = 0
 
+    @functools.cached_property
+    def name_of(self):
+        """The name of an id; packing needs none."""
+        return {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}.__getitem__
+
     def _forget(self, words: _Words, ids: np.ndarray, ends: np.ndarray) -> None:
         """Start over with the given words, their ids one after another, and where each word's ids end."""
         self.words, self.ids, self.ends = words, ids, ends
@@ -165,10 +179,9 @@ class ChunkEncoder:
             parts.clear()
             parts[""] = b""
         wanted = list({p for w in self.words.new if len(w) == 2 for p in w if p not in parts})
-        for p, e in zip(wanted, self.merges.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            parts[p] = array("I", e.ids).tobytes()
-        others = iter(self.tokenizer.encode_batch_fast([w[0] for w in self.words.new if len(w) == 1], add_special_tokens=False))
-        found = [parts[w[0]] + parts[w[1]] if len(w) == 2 else array("I", next(others).ids).tobytes() for w in self.words.new]
+        parts.update(zip(wanted, _encoded(self.merges, wanted), strict=True))
+        others = _encoded(self.tokenizer, [w[0] for w in self.words.new if len(w) == 1])
+        found = [parts[w[0]] + parts[w[1]] if len(w) == 2 else next(others) for w in self.words.new]
         base = self.ends[-1] if len(self.ends) else 0
         self.ends = np.concatenate([self.ends, base + np.cumsum([len(x) for x in found]) // 4])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
@@ -198,15 +211,15 @@ class ChunkEncoder:
         return self.ids[np.repeat(self.ends[numbers] - lengths - at[:-1], lengths) + np.arange(at[-1])], at
 
     @staticmethod
-    def _parts(chunk: str) -> tuple[str | None, list[str] | str, str | None]:
-        """Edge piece, whole words, edge piece; (None, chunk, None) for a chunk without white space."""
+    def _parts(chunk: str, number: Callable[[str], int]) -> tuple[str | None, list[int], str | None]:
+        """Edge piece, numbers of the whole words, edge piece; (None, [], None) for a chunk without white space."""
         words = chunk.split()
         if not words:
             return "", [], ""
         head, tail = not chunk[0].isspace(), not chunk[-1].isspace()
         if len(words) == 1 and head and tail:
-            return None, chunk, None
-        return words[0] if head else "", words[int(head) : len(words) - int(tail)], words[-1] if tail else ""
+            return None, [], None
+        return words[0] if head else "", list(map(number, words[int(head) : len(words) - int(tail)])), words[-1] if tail else ""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers.
@@ -224,7 +237,7 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plans, fresh, known = [], {}, {}
+        plans, fresh, known, number = [], {}, {}, self.number.__getitem__
         joins: list[str] = []
         for text in texts:
             if any(s in text for s in _WHOLE):
@@ -240,7 +253,9 @@ class ChunkEncoder:
                 if kept is None:
                     kept = self.chunks.get(chunk) if self.mean else None
                     if kept is None:
-                        kept = fresh[chunk] = self._parts(chunk)
+                        kept = fresh[chunk] = self._parts(chunk, number)
+                        if len(self.words.new) >= WAIT:
+                            self._learn()
                     else:
                         known[chunk] = kept
                         self.reused_chunks += 1
@@ -263,7 +278,7 @@ class ChunkEncoder:
         self.encoded_chunks += len(fresh)
         closed = [(c, x) for c, x in fresh.items() if x[0] is not None]
         sizes = [len(x[1]) for _, x in closed]
-        numbers = np.fromiter(map(self.number.__getitem__, chain(joins, chain.from_iterable(x[1] for _, x in closed))), np.int64, len(joins) + sum(sizes))
+        numbers = np.fromiter(chain(map(number, joins), chain.from_iterable(x[1] for _, x in closed)), np.int64, len(joins) + sum(sizes))
         self._learn()
         flat, starts = self._flat(numbers)
         data = flat.tobytes()
@@ -319,5 +334,6 @@ def encode_documents(df: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            release()  # or a worker holds the most that any batch took
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

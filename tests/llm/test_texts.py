@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -104,6 +107,38 @@ def test_encoder_forgets_within_bounds(monkeypatch):
     assert len(e.words) < 2000
 
 
+HELD = """
+import random, re, sys
+from quadrille.llm import tokenization
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+r = random.Random(0)
+words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(4, 9))) + r.choice(["", "", ",", "."]) for _ in range(100_000)]
+texts = [" ".join(r.choices(words, k=400)) for _ in range(1300)]
+before = held()
+e = tokenization.ChunkEncoder(sys.argv[1], 0)
+for at in range(0, len(texts), 650):
+    e.encode(texts[at : at + 650])
+print(held() - before)
+"""
+
+
+def test_a_worker_holds_little_memory_between_blocks():
+    """MB of a process of its own (130 when the library got all new words at once and kept whole words as text; 74 now)."""
+    out = subprocess.run([sys.executable, "-c", HELD, PATH], capture_output=True, text=True, check=True, timeout=120, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 90
+
+
+def test_new_words_are_learnt_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(tokenization, "WAIT", 50)
+    monkeypatch.setattr(tokenization, "AT_ONCE", 7)
+    r = random.Random(4)
+    for mean in (0, 64):
+        e = tokenization.ChunkEncoder(PATH, mean)
+        texts = HARD[1:] + [prose(r, 100, 99999) for _ in range(20)]
+        for text, ids in zip(texts, e.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_chunk_cuts_are_content_defined():
     r = random.Random(3)
     shared = prose(r, 500)
