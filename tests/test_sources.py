@@ -229,6 +229,24 @@ def test_topology_report_and_simplify(spark):
         topology.snapped_rings(rows, 0.0)
 
 
+def test_levels_of_detail_join_no_arcs(spark):
+    """A part's pieces meet once for all zooms; rings equal those of simplified arcs that are put together and culled."""
+    zigzag = [(100.0, float(y)) if y % 2 else (101.0, float(y)) for y in range(1, 20)]
+    a = ("Polygon", [[[(0.0, 0.0), (100.0, 0.0), *zigzag, (100.0, 20.0), (0.0, 20.0)], [(10.0, 5.0), (10.0, 6.0), (20.0, 6.0), (20.0, 5.0)]]])
+    b = ("MultiPolygon", [[[(200.0, 0.0), (200.0, 20.0), (100.0, 20.0), *zigzag[::-1], (100.0, 0.0)]], [[(300.0, 0.0), (303.0, 0.0), (303.0, 3.0)]]])
+    rows = spark.createDataFrame([(1, wkb.encode(a)), (2, wkb.encode(b)), (3, None)], "fid long, wkb binary").filter("wkb IS NOT NULL")
+    refs = topology.ring_refs(topology.snapped_rings(rows, 1.0))
+    made = topology.levels_of_detail(refs, 1.0, grids.metres_per_pixel(0) ** 2, range(3), 20.0)
+    assert " Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    points = lambda r: [(p.x, p.y) for p in r.pts]
+    want = []
+    for z, least in ((0, 20.0), (1, 5.0), (2, 0.0)):
+        again = topology.culled(topology.rebuilt(refs, topology.simplified(topology.arcs(refs), least)), least)
+        want += [(z, r.fid, r.part, r.ring, points(r)) for r in again.collect()]
+    got = [(r.z, r.fid, r.part, r.ring, points(r)) for r in made.collect()]
+    assert sorted(got) == sorted(want) and len(got) == 2 + 3 + 4
+
+
 @pytest.fixture(scope="module")
 def service(spark, features, tmp_path_factory):
     s = Service(spark, "Test & maps")
