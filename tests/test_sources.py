@@ -267,6 +267,25 @@ def test_first_hits_of_copies(spark):
     assert joins.least_of(features, ["minx", "miny", "maxx", "maxy"], "fid", 7).count() < len(b) / 3
 
 
+def test_labels_of_copies(spark):
+    """Many labels at one anchor: as many go on as there are spots, and the placed ones are those of all items."""
+    from quadrille.operators import labels
+
+    at = [(10.0 * (i % 5), 30.0 * (i % 4), 3.0, 2.0, *((18.0, 12.0), (0.4, 12.0), (0.0, 12.0))[0 if i % 40 else i // 40 % 3]) for i in range(4000)]
+    rows = [(i % 2, i, float(i * 37 % 101), *a) for i, a in enumerate(at)]
+    items = spark.createDataFrame(rows, "frame long, fid long, priority double, x double, y double, radius double, offset double, width double, height double")
+    want = set()
+    for frame in (0, 1):
+        own = [(r[2], r[1], *r[3:]) for r in rows if r[0] == frame]
+        want |= {(frame, own[i][1], a, b) for i, a, b in labels.placed(own)}
+    assert {tuple(r) for r in labels.place(items).collect()} == want and len(want) > 20
+    assert labels.contenders(items).count() < 1000
+    obstacles = labels.Obstacles()
+    for _ in range(9):
+        obstacles.add((0, 0, 2, 2))
+    assert sum(map(len, obstacles.cells.values())) == 1
+
+
 @pytest.fixture(scope="module")
 def service(spark, features, tmp_path_factory):
     s = Service(spark, "Test & maps")
